@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, secrets
+from lectern.llm import decontaminate, ngram_join, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack": packing.op2_pack,
     "op4_secrets": secrets.op4_secrets,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
