@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z become a-z; every byte that cannot be in a word becomes a space. Bytes over 0x7F are parts of words.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -30,6 +31,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(WORD_TABLE).split()
 
 
+def split_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the words of a text as an array, by DataFrame functions; none for null. Letters beyond A-Z come in lower
+    case too; that moves no word's bounds and makes none of them an ASCII word but those with the Kelvin sign."""
+    df = df.withColumn(out, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_GAP))
+    ws, size = F.col(out), F.size(out)
+    head = F.when(F.get(ws, F.lit(0)) == "", 1).otherwise(0)  # split leaves empty words at the ends
+    tail = F.when((F.get(ws, size - 1) == "") & (size > 1), 1).otherwise(0)
+    return df.withColumn(out, F.slice(ws, head + 1, F.greatest(size - head - tail, F.lit(0))))
+
+
 def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(_LOWER)
 

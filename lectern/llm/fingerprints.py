@@ -16,28 +16,14 @@ and sorted again, so the first of each bin is its sample.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SHINGLE_WORDS, table
+from lectern.llm.common import SHINGLE_WORDS, split_words, table
 
 BINS = 128
 #: Cuts of the order of ids, at most; each piece between two is put in order by itself.
 CUTS = 2048
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def _words(text: Column) -> Column:
-    """The words of a text in lower case; an empty one stands before the first or after the last gap."""
-    return F.split(F.lower(text), _GAP)
-
-
-def _trimmed(ws: Column) -> Column:
-    """Words without the empty ones that split leaves at the ends."""
-    head = F.when(F.element_at(ws, 1) == "", 1).otherwise(0)
-    tail = F.when((F.element_at(ws, -1) == "") & (F.size(ws) > 1), 1).otherwise(0)
-    return F.slice(ws, head + 1, F.greatest(F.size(ws) - head - tail, F.lit(0)))
-
 
 def _unit(h: Column, salt: int) -> Column:
     """A number in (0, 1) from a hash."""
@@ -53,7 +39,7 @@ def _draw(h: Column, weight: Column) -> Column:
     ln_a = F.log(c) - r * (t.cast("double") - b) - r
     # ln a lies within about -60..+10 for any weight up to 2**31; finer than a double's noise is not needed
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ln_a + 80.0) / 100.0)) * F.lit(2.0**32 - 1)
-    mark = F.when(weight == 1, h).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit((1 << 24) - 1))
+    mark = F.when(t == 0, h).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit((1 << 24) - 1))
     own = F.shiftrightunsigned(h, 57)
     return F.shiftleft(own, 56).bitwiseOR(F.shiftleft(level.cast("long"), 24)).bitwiseOR(mark)
 
@@ -62,7 +48,7 @@ def samples(text: str, df: DataFrame, out: str, n: int = SHINGLE_WORDS) -> DataF
     """df with `out`: the text's samples, an array of at most BINS longs whose upper 7 bits are the bin. Empty for no
     words; a text of fewer than n words has one term, all of them."""
     w, h, first = f"_{out}_w", f"_{out}_h", f"_{out}_f"
-    df = df.withColumn(w, _trimmed(_words(F.coalesce(F.col(text), F.lit("")))))
+    df = split_words(df, text, w)
     ws, size = F.col(w), F.size(F.col(w))
     each = F.transform(
         F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(*[F.get(ws, i + (k - 1)) for k in range(n)])
@@ -109,33 +95,62 @@ def _pieces(ids: DataFrame) -> list[int]:
     return sorted({*(found["p"] or []), *([found["top"]] if found["top"] is not None else [])})
 
 
-def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, samples, next_samples, edited: each text with that of the next document in descending doc_id.
-
-    edited is the text with its last floor(n/2) code points replaced by as many (or all) from the start of the next
-    document's; the last document's next is the first; a document alone is its own next. Rows with equal ids follow
-    one another by text; null ids come last; null texts are empty. One shuffle: ids are cut into pieces whose bounds
-    are ids of the data, each piece is ordered by itself, and the row at a bound is also sent to the piece above.
+def _ordered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with piece and ghost, dealt out so that within a piece the order of ids shows every
+    row's successor. Pieces are cut at ids of the data; a piece holds the ids over one bound up to the next, and the
+    rows at its lower bound once more as ghosts, as the lowest piece does with the greatest id (null ids are lowest).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = _pieces(docs.select("doc_id"))
-    docs = samples("text", docs, "samples")
-    top = F.lit(bounds[-1] if bounds else 0)
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     n = len(bounds)
-    # piece = number of bounds below the id, by halving: piece k holds ids over bounds[k-1], up to bounds[k]
-    steps = [1 << k for k in reversed(range(n.bit_length()))]
-    own = F.aggregate(
-        F.array(*[F.lit(s) for s in steps] or [F.lit(0)]),
-        F.lit(0),
-        lambda k, s: F.when((k + s <= n) & (F.get(marks, k + s - 1) < F.col("doc_id")), k + s).otherwise(k),
+    marks = F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>")
+    # the number of bounds below the id, by halving
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    below = F.aggregate(
+        steps, F.lit(0), lambda k, s: F.when((k + s <= n) & (F.get(marks, k + s - 1) < F.col("doc_id")), k + s).otherwise(k)
+    )
+    piece = F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(below), F.lit(0))
+    docs = docs.withColumn("piece", piece)
+    above = F.when(F.col("doc_id") == F.lit(bounds[-1] if n else 0), 0).when(
+        F.col("doc_id") == F.get(marks, F.col("piece")), F.col("piece") + 1
+    )
+    if not n:  # no id at all: one row follows another by text, and the first of all follows the last
+        above = F.lit(0)
+    places = F.array(F.struct(F.col("piece").alias("piece"), F.lit(False).alias("ghost")), F.struct(above.alias("piece"), F.lit(True).alias("ghost")))
+    places = F.filter(places, lambda x: x["piece"].isNotNull())
+    docs = docs.withColumn("place", F.explode(places)).select(*[c for c in docs.columns if c != "piece"], "place.piece", "place.ghost")
+    return docs.repartition("piece")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next.
+
+    The edited text is the text with its last floor(n/2) code points replaced by as many (or all) from the start of
+    the next document in descending doc_id; the last document's next is the first, a document alone is its own next.
+    near_edited and near_next are the fingerprint's likeness to the edited text's and the next document's. Null texts
+    are empty; an empty text has the fingerprint "" and likeness 1 to another. Rows with equal ids follow one another
+    by text, equal rows are alike anyway; rows without id come after all others, as if they had the lowest. Other
+    columns are left out. One shuffle, of texts with their samples; long texts stay single values in one row.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = Window.partitionBy("piece").orderBy(F.col("ghost"), F.col("doc_id").desc_nulls_last(), "text")
+    rows = _ordered(samples("text", docs, "own"))
+    follow = F.lead(F.struct("text", "own")).over(own)
+    rows = rows.withColumn("follow", follow).where(~F.col("ghost")).drop("piece", "ghost")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.left(F.col("follow.text"), half))
+    rows = rows.withColumn("edited", edited)
+    rows = samples("edited", rows, "new")
+    return rows.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"),
+        likeness(F.col("own"), F.col("follow.own")).alias("near_next"),
     )
-    docs = docs.withColumn("piece", F.when(F.col("doc_id").isNull(), -1).otherwise(own))
-    at_bound = F.col("doc_id") == F.get(marks, F.col("piece"))
-    nulls = F.lit(False)
-    ghost = F.when(F.col("doc_id").isNull(), F.lit(None).cast("int")).when(F.col("doc_id") == top, -1).when(at_bound & (F.col("piece") + 1 < n), F.col("piece") + 1)
-    sent = F.filter(F.array(F.struct(F.col("piece").alias("to"), nulls.alias("ghost")), F.struct(ghost.alias("to"), F.lit(True).alias("ghost"))), lambda x: x["to"].isNotNull())
-    return docs.withColumn("sent", F.explode(sent)).select("doc_id", "text", "samples", "sent.to", "sent.ghost")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
