@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, secrets
+from lectern.llm import decontaminate, ngram_join, packing, quality, secrets
 from lectern.llm.common import cut, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(f"score >= {quality.KEEP}").select(docs.columns)
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document with the smallest id stays."""
+    return ngram_join.first_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document that is mostly benchmark goes."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
@@ -18,8 +29,20 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("secret scans", redacted)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, a row for each piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("n-gram Jaccard join", single),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", redacted),
+    ("packing", packed),
+]
 
+#: No stage is in SQL's reach; tests hold the whole against brute force.
 ORACLE_SQL = None
 
 
