@@ -6,7 +6,7 @@ A box is an array [x0, y0, x1, y1], a polygon an array of [x, y], a transform [a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Transforms with a smaller determinant have no inverse; areas below the second are none.
@@ -150,11 +150,13 @@ def _clipped(p: Column, axis: int, bound: Column, below: bool) -> Column:
     return F.when(n > 0, F.flatten(F.transform(p, edge))).otherwise(p)
 
 
-def clip(p: Column, view: Column) -> Column:
-    """The polygon's part inside a box, side by side; an empty array where there is none."""
+def clip(df: DataFrame, polygon: str, view: Column, out: str) -> DataFrame:
+    """df with `out`: the polygon's part inside a box, cut side by side; an empty array where there is none. Each side
+    is a column of its own, as it uses the one before several times."""
+    df = df.withColumn(out, F.col(polygon))
     for axis, bound, below in ((0, x0(view), False), (0, x1(view), True), (1, y0(view), False), (1, y1(view), True)):
-        p = _clipped(p, axis, bound, below)
-    return p
+        df = df.withColumn(out, _clipped(F.col(out), axis, bound, below))
+    return df
 
 
 def clip_status(b: Column, view: Column) -> Column:

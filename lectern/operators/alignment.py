@@ -519,7 +519,7 @@ def align(left: DataFrame, right: DataFrame, key: str = "document", region=None)
 
     def page(own: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = _rows(align_page(_records(a.sort_values("ordinal", kind="stable")), _records(b.sort_values("ordinal", kind="stable")), int(own[1]), region))
-        out = pd.DataFrame(rows, columns=names).astype({"detail": "Int32", "seq": "int32"})
+        out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}).astype({"detail": "Int32", "seq": "int32"})
         out.insert(0, key, own[0])
         out.insert(1, "page_index", own[1])
         return out
