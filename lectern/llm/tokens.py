@@ -15,8 +15,10 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Distinct pieces that a worker keeps before it starts anew.
-KEPT = 600_000
-_WORDY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+KEPT = 1_200_000
+_WORDY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+#: Stands for a line end among ids, whose upper two bytes are zero, so it is nowhere else in their bytes.
+_MARK = b"\xff" * 4
 
 
 def _plain(run: str) -> bool:
@@ -55,20 +57,20 @@ class WordBpe:
         odd = [c for c in new if "<|" in c or not (c.isascii() or _plain(c))]
         self.chunks.update(zip(odd, self._library(odd), strict=True))
         taken = set(odd)
-        plain = [(c, _WORDY.findall(c.lower())) for c in new if c not in taken]
-        fresh = list({p for _, ps in plain for p in ps if p not in self.parts})
+        plain = [c for c in new if c not in taken]
+        pieces = _WORDY.findall("\n".join(plain).lower())
+        fresh = list(set(pieces).difference(self.parts))
         self.parts.update(zip(fresh, self._library(fresh), strict=True))
-        part = self.parts.__getitem__
-        for c, ps in plain:
-            self.chunks[c] = b"".join(map(part, ps))
+        self.parts["\n"] = _MARK
+        self.chunks.update(zip(plain, b"".join(map(self.parts.__getitem__, pieces)).split(_MARK), strict=bool(plain)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for r in runs for c in r}.difference(self.chunks)
+        new = set().union(*runs).difference(self.chunks)
         if new:
             if len(self.chunks) + len(new) > KEPT:
                 self.chunks.clear()
-                new = {c for r in runs for c in r}
+                new = set().union(*runs)
             self._learn(list(new))
         get = self.chunks.__getitem__
         return [np.frombuffer(b"".join(map(get, r)), dtype="<u4") for r in runs]
