@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,9 +58,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that cut has written so far; DataFrames that read them are of no use after that."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be closing; what is left is a temporary table
+            sweep(spark)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/lectern-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
