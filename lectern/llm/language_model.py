@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from lectern.llm.common import cut, lower_ascii, partition_id, pieces, table
 END = b"\n"
 UNKNOWN = 0
 #: The network: words it learns, classes, units; words in a window, lanes.
-LEARNT, CLASSES, UNITS, STEPS, LANES = 4096, 64, 24, 32, 256
+LEARNT, CLASSES, UNITS, STEPS, LANES = 4096, 64, 16, 32, 384
 #: Commonest words whose counts go to every task (of at most LONGEST bytes); others are joined.
 SENT, LONGEST = 200_000, 64
-RATE, ROUNDS = 0.08, 2
+RATE, ROUNDS = 0.15, 2
 #: Input partitions whose documents one task trains on.
 SPLITS = 4
 #: Words that a task lays out in lanes at a time: enough for long documents to run beside others.
@@ -95,9 +96,18 @@ def _tanh(x: np.ndarray) -> np.ndarray:
     return 2 / (1 + np.exp(-2 * x)) - 1
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Rows' shares, in place. Scores are far from where exp would overflow: Adagrad's steps shrink."""
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of one share of each row; x is used up."""
+    own = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 @dataclass
@@ -180,11 +190,10 @@ class Network:
 
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probabilities of words after these states."""
-        out = _log_softmax(states @ self.wc + self.bc)[np.arange(len(target)), self.owner[target]].astype(np.float64)
+        out = _log_share(states @ self.wc + self.bc, self.owner[target]).astype(np.float64)
         for _, a, b, rows in self.groups(target):
             if b - a > 1:
-                lp = _log_softmax(states[rows] @ self.ww[a:b].T + self.bw[a:b])
-                out[rows] += lp[np.arange(len(rows)), target[rows] - a]
+                out[rows] += _log_share(states[rows] @ self.ww[a:b].T + self.bw[a:b], target[rows] - a)
         return out
 
     def step(self, h: np.ndarray, seen: np.ndarray, target: np.ndarray, old: dict[str, np.ndarray], rate: float = RATE) -> np.ndarray:
@@ -194,14 +203,14 @@ class Network:
         where = np.flatnonzero(target.ravel() >= 0)
         want, s = target.ravel()[where], states.reshape(-1, n)[where]
         grad = {}
-        d = np.exp(_log_softmax(s @ self.wc + self.bc))
+        d = _softmax(s @ self.wc + self.bc)
         d[np.arange(len(want)), self.owner[want]] -= 1
         grad["wc"], grad["bc"] = s.T @ d, d.sum(0)
         ds = d @ self.wc.T
         grad["ww"], grad["bw"] = np.zeros_like(self.ww), np.zeros_like(self.bw)
         for _, a, b, rows in self.groups(want):
             if b - a > 1:
-                e = np.exp(_log_softmax(s[rows] @ self.ww[a:b].T + self.bw[a:b]))
+                e = _softmax(s[rows] @ self.ww[a:b].T + self.bw[a:b])
                 e[np.arange(len(rows)), want[rows] - a] -= 1
                 grad["ww"][a:b] = e.T @ s[rows]
                 grad["bw"][a:b] = e.sum(0)
@@ -350,12 +359,28 @@ class Model:
     v_other: int
 
 
+def commonest(known: DataFrame, most: int = SENT) -> list[tuple[bytes, int]]:
+    """Words and counts from the most frequent on, `most` at most. A histogram of counts in steps of a sixteenth of a
+    doubling, of bounded size, says from which step on that many remain; only these words come to the driver."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    words = known.where("word IS NOT NULL").withColumn("step", step)
+    left, least = most, None
+    for r in sorted(words.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    rows = words.where(F.col("step") >= least).select("word", "c").collect()
+    return sorted(((r.word.encode(), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def fit(train_docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
     """known: counts(train_docs), written. Each round trains on its own share of the documents, by a hash of the text."""
     total = known.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = known.where("word IS NOT NULL").orderBy(F.desc("c"), "h").limit(SENT).select("word", "c").collect()  # bounded
-    common = [(r.word.encode(), r.c) for r in top]
+    common = commonest(known)
     vocab = Vocabulary.of(common, n)
     net = Network(vocab)
     for k in range(rounds if n else 0):
@@ -380,24 +405,28 @@ def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        get, count = m.net.vocab.words.get, m.sent.get
         row = partition_id() << 40
-        log10 = math.log10
-        bottom, other = log10(m.n + m.v + 1), log10(m.n_other + m.v_other + 1)
-        log_c = {w: log10(c + 1) for w, c in m.sent.items()}
+        bottom, other = math.log10(m.n + m.v + 1), math.log10(m.n_other + m.v_other + 1)
+        place = {w: i for i, w in enumerate(m.sent)}
+        # by place in m.sent, and last, where a word that is not there finds it: log10(c + 1), and the network's id
+        log_c = np.append(np.log10(np.array(list(m.sent.values()), dtype=np.float64) + 1), 0.0)
+        known_id = np.array([*(m.net.vocab.words.get(w, UNKNOWN) for w in m.sent), UNKNOWN], dtype=np.int32)
         for batch in batches:
             for part in pieces(batch, 1 << 25):
                 ids: list[np.ndarray] = []
                 cols: list[list] = [[] for _ in range(6)]
                 for text in part.column("text").to_pylist():
                     ws = tokens(text)
-                    ids.append(np.array([get(w, UNKNOWN) for w in ws], dtype=np.int32))
-                    tail = Counter(w for w in ws if w not in log_c)
-                    n_tail = sum(tail.values())
-                    base = sum(log_c[w] for w in ws if w in log_c) - (len(ws) - n_tail) * bottom
-                    own = sum(log_c[w] - other for w, i in zip(ws, ids[-1].tolist(), strict=True) if not i and w in log_c)
+                    at = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
+                    ids.append(known_id[at])
+                    far = np.flatnonzero(at < 0)
+                    tail = Counter([ws[i] for i in far.tolist()])
+                    near = len(ws) - len(far)
+                    base = float(log_c[at].sum()) - near * bottom
+                    unlearnt = (ids[-1] == UNKNOWN) & (at >= 0)
+                    own = float(log_c[at[unlearnt]].sum()) - int(unlearnt.sum()) * other
                     key = _key(b"\n%d" % row)
-                    for col, x in zip(cols, (row, key, 0, len(ws), len(ws) - n_tail, (base, own)), strict=True):
+                    for col, x in zip(cols, (row, key, 0, len(ws), near, (base, own)), strict=True):
                         col.append(x)
                     for w, k in tail.items():
                         for col, x in zip(cols, (row, _key(w), k, None, None, None), strict=True):
