@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.statistics import linear, nearest_rank, wilson
 
 TERMINAL = ("completed", "failed", "timeout", "cancelled", "skipped", "unsupported")
-RESOLUTIONS = ("finding", "agreement", "clean")
+RESOLUTIONS = ("useful_finding", "actionable_comparison")
 
 
 def page_key(document: Column, page: Column) -> Column:

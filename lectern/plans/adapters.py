@@ -34,7 +34,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     finding = F.when(digits, F.array(F.concat(F.lit("f_"), (F.col("doc_id") % 7).cast("string")))).otherwise(F.array().cast("array<string>"))
     return rows.select(
         page_key("doc_id").alias("page_key"), F.concat_ws("_", F.lit("check"), F.col("doc_id").cast("string")).alias("check_id"), "attempt", status.alias("status"),
-        F.when(digits, "finding").alias("resolution"), finding.alias("finding_ids"), (F.col("n_chars") % 5).cast("int").alias("occurrence_count"),
+        F.when(digits, "useful_finding").alias("resolution"), finding.alias("finding_ids"), (F.col("n_chars") % 5).cast("int").alias("occurrence_count"),
         F.array((F.col("n_chars") % 40).cast("double") / 10, (F.col("doc_id") % 30).cast("double") / 10).alias("errors"),
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Rows in a chunk, chunks without an answer, rows a job may commit, bytes of text, tries of one job.
 CHUNK_ROWS, UNACKED, PER_CHECK, TEXT_BYTES, TRIES = 256, 2, 20_000, 8 * 1024 * 1024, 2
 #: Failures that a second try may mend.
-TRANSIENT = ("timeout", "worker_crash")
+TRANSIENT = ("worker_crash", "init_crash")
 STATE = "last_seq long, closed boolean, unacked int, rows long, bytes long, tries int"
 OUT = "job_id string, arrival long, seq long, event string, verdict string, job_state string, tries int"
 

@@ -138,7 +138,7 @@ def test_components_and_splits(spark):
 
 def test_coverage_keeps_the_denominator(spark):
     kind = "page_key string, status string, resolution string, finding_ids array<string>, occurrence_count int, errors array<double>"
-    readings = spark.createDataFrame([("a:0", "completed", "finding", ["f"], 2, [1.0]), ("a:0", "failed", None, None, None, None), ("b:0", "timeout", "finding", ["g"], 1, None)], kind)
+    readings = spark.createDataFrame([("a:0", "completed", "useful_finding", ["f"], 2, [1.0]), ("a:0", "failed", None, None, None, None), ("b:0", "timeout", "useful_finding", ["g"], 1, None)], kind)
     labels = spark.createDataFrame([("a:0", "supported_failure", 2), ("b:0", "supported_failure", 1), ("c:0", "clean", 0)], "page_key string, truth string, expected_occurrences int")
     pages = C.collapse_readings(readings)
     got = {r.truth: r for r in C.coverage(labels, pages, "truth").collect()}
@@ -178,8 +178,8 @@ def test_job_bounds():
     assert v == "admitted" and admission.step(s, m(1, "chunk"))[1] == "sequence"
     bad, v, name = admission.step(s, m(2, "chunk"))
     assert (v, name, bad[3]) == ("resource_limit", "terminal", 2) and admission.step(bad, m(9, "note"))[1] == "terminal_job"
-    s, v, _ = admission.step(s, m(2, "failed", reason="timeout"))
-    assert v == "retry" and admission.step(s, m(0, "failed", reason="timeout"))[2] == "terminal"
+    s, v, _ = admission.step(s, m(2, "failed", reason="worker_crash"))
+    assert v == "retry" and admission.step(s, m(0, "failed", reason="worker_crash"))[2] == "terminal"
 
 
 def test_readers(spark):
