@@ -5,6 +5,7 @@ All positions are Unicode code points, ends are exclusive. Null texts stay null.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -20,6 +21,7 @@ WHITE_SPACE = frozenset(
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _OTHER = _SPACE.replace("[", "[^", 1)
+_RUNS = re.compile("[{0}]+|[^{0}]+".format("".join(sorted(WHITE_SPACE))))
 #: Categories of characters whose change matters by itself: digits, currency, mathematical signs, dashes.
 MATERIAL_CATEGORIES = ("Nd", "Sc", "Sm", "Pd")
 _MATERIAL = r"[\p{Nd}\p{Sc}\p{Sm}\p{Pd}]"
@@ -46,20 +48,27 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_SPACE}+|{_OTHER}+)"), F.lit(1))
 
 
+def map_entries(text: str) -> list[tuple[int, int, int, int, str]]:
+    """The map of one text: raw start and end, normalised start and end, operation of every run."""
+    out, new = [], 0
+    for run in _RUNS.finditer(text):
+        white = run[0][0] in WHITE_SPACE
+        n = 1 if white else run.end() - run.start()
+        out.append((run.start(), run.end(), new, new + n, "whitespace" if white else "identity"))
+        new += n
+    return out
+
+
+@F.pandas_udf(MAP)
+def _map_udf(text: pd.Series) -> pd.Series:
+    names = [f.name for f in MAP.elementType.fields]
+    return text.map(lambda t: None if t is None else [dict(zip(names, e, strict=True)) for e in map_entries(t)])
+
+
 def normalization_map(text: Column) -> Column:
-    """One entry for each run: where it is in the raw and in the normalised text, and whether it changed."""
-    zero = F.struct(F.lit(0).alias("raw"), F.lit(0).alias("new"), F.array().cast(MAP).alias("out"))
-
-    def step(state: Column, run: Column) -> Column:
-        white = run.rlike(f"^{_SPACE}")
-        raw, new = state["raw"] + F.char_length(run), state["new"] + F.when(white, 1).otherwise(F.char_length(run))
-        entry = F.struct(
-            state["raw"].alias("raw_start"), raw.alias("raw_end"), state["new"].alias("normalized_start"), new.alias("normalized_end"),
-            F.when(white, "whitespace").otherwise("identity").alias("operation"),
-        )
-        return F.struct(raw.alias("raw"), new.alias("new"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-    return F.aggregate(runs(text), zero, step, lambda s: s["out"])
+    """One entry for each run: where it is in the raw and in the normalised text, and whether it changed. Positions are
+    running sums within a text, which no array function gives without copying, so batches of texts go through Python."""
+    return _map_udf(text)
 
 
 def map_is_contiguous(entries: Column, raw: Column, normalized: Column) -> Column:

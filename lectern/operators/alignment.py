@@ -100,8 +100,11 @@ class Pair:
     text: float
     cost: float
 
-    def sides(self) -> tuple[set[int], set[int]]:
-        return {f.index for f in self.left.members}, {f.index for f in self.right.members}
+    def sides(self) -> tuple[frozenset[int], frozenset[int]]:
+        return self._sides
+
+    def __post_init__(self) -> None:
+        self._sides = tuple(frozenset(f.index for f in s.members) if s else frozenset() for s in (self.left, self.right))
 
     def scores(self) -> dict:
         return {"geometry_distance": self.geometry, "order_distance": self.order, "text_distance": self.text, "cost": self.cost}
@@ -336,15 +339,32 @@ def _positions(members: list[Fragment], order: dict[int, int]) -> int | None:
     return at[0]
 
 
-def _exchange(own: Pair, pairs: list[Pair], optimum: float, chosen: tuple[dict, dict], place: tuple[dict, dict], solver: Solver) -> float:
+class Rivals:
+    """A block's candidate pairs by the fragments they use, on either side."""
+
+    def __init__(self, pairs: list[Pair]) -> None:
+        self.pairs = pairs
+        self.using: tuple[dict, dict] = defaultdict(list), defaultdict(list)
+        self.starting: dict[int, list[Pair]] = defaultdict(list)
+        for k, p in enumerate(pairs):
+            self.starting[p.left.members[0].index].append(p)
+            for side in (0, 1):
+                for x in p.sides()[side]:
+                    self.using[side][x].append(k)
+
+    def of(self, own: Pair) -> list[Pair]:
+        """Pairs that share a fragment with `own`, itself too, in order."""
+        return [self.pairs[k] for k in sorted({k for side in (0, 1) for x in own.sides()[side] for k in self.using[side][x]})]
+
+
+def _exchange(own: Pair, rivals: Rivals, optimum: float, chosen: tuple[dict, dict], place: tuple[dict, dict], solver: Solver) -> float:
     """Least extra cost of taking another pair that shares a fragment with `own`, where that upsets two more chosen
     pairs at most; what these leave over is paired anew or stays alone."""
     least = math.inf
-    mine = own.sides()
-    for q in pairs:
-        theirs = q.sides()
-        if q is own or not (mine[0] & theirs[0] or mine[1] & theirs[1]):
+    for q in rivals.of(own):
+        if q is own:
             continue
+        theirs = q.sides()
         upset = {id(own): own}
         for side in (0, 1):
             for f in (q.left, q.right)[side].members:
@@ -356,10 +376,11 @@ def _exchange(own: Pair, pairs: list[Pair], optimum: float, chosen: tuple[dict,
         covered = sum(len(theirs[side] - freed[side]) for side in (0, 1))
         order = [{x: k for k, x in enumerate(sorted(freed[side] - theirs[side], key=place[side].__getitem__))} for side in (0, 1)]
         again = []
-        for p in pairs:
-            i, j = _positions(p.left.members, order[0]), _positions(p.right.members, order[1])
-            if i is not None and j is not None:
-                again.append((i, len(p.left.members), j, len(p.right.members), p))
+        for x, i in order[0].items():
+            for p in rivals.starting.get(x, ()):
+                j = _positions(p.right.members, order[1])
+                if j is not None and _positions(p.left.members, order[0]) is not None:
+                    again.append((i, len(p.left.members), j, len(p.right.members), p))
         rescue, _ = solver.solve(len(order[0]), len(order[1]), _moves(again))
         removed = sum(PREFERENCE - p.cost for p in upset.values())
         other = optimum + removed + (q.cost - PREFERENCE) - UNMATCHED * covered + rescue
@@ -388,10 +409,10 @@ def match_block(left: list[Run], right: list[Run], tolerance: float, region: Box
         chosen[0].update((f.index, p) for f in p.left.members)
         chosen[1].update((f.index, p) for f in p.right.members)
     place = tuple({f.index: f.place for r in side for f in r.members} for side in (left, right))
-    margins = {}
+    margins, rivals_of = {}, Rivals(pairs)
     for p in path:
         cost, _ = solver.solve(*sizes, moves, p)
-        margins[id(p)] = min(cost - optimum, _exchange(p, pairs, optimum, chosen, place, solver))
+        margins[id(p)] = min(cost - optimum, _exchange(p, rivals_of, optimum, chosen, place, solver))
     good = [p for p in path if p.cost <= ACCEPT_COST and margins[id(p)] >= MIN_MARGIN]
     turned = set()
     emitted = lambda s: s.mean(lambda f: f.record.ordinal)
@@ -405,8 +426,7 @@ def match_block(left: list[Run], right: list[Run], tolerance: float, region: Box
         if id(p) in accepted:
             out["matches"].append(unit | {"provenance": _provenance(len(p.left.members), len(p.right.members)), "extent_left": p.left.box, "extent_right": p.right.box})
             continue
-        own = p.sides()
-        rivals = [q for q in pairs if own[0] & q.sides()[0] or own[1] & q.sides()[1]]
+        rivals = rivals_of.of(p)
         reason = "order_conflict" if id(p) in turned else "tie" if margins[id(p)] < MIN_MARGIN else "weak"
         rivals = [{"left": _ids(q.left.members), "right": _ids(q.right.members), **q.scores()} for q in sorted(rivals, key=lambda q: q.cost)]
         out["ambiguous"].append(unit | {"reason": reason, "candidates": rivals})

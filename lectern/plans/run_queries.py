@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import crops as Y
 from lectern.functions import geometry as G
 from lectern.operators import compare as R
 from lectern.operators import ledger as K
 from lectern.operators import lineage as L
+from lectern.operators import runs as N
 from lectern.operators import selection as E
 from lectern.plans import adapters as A
 from lectern.plans import sql as S
@@ -225,3 +227,73 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("config_digest"), F.lit("completed").alias("status"))
     pending, _ = L.incremental(jobs, done)
     return pending.select("key", "segment")
+
+
+@query(
+    """WITH j AS (SELECT user_id AS job, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS attempt, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
+      CASE WHEN event_id % 2 = 0 THEN 'worker_crash' ELSE 'encrypted' END AS reason, event_id FROM events WHERE event_id < 400)
+    SELECT job, attempt + 1 AS attempt FROM (SELECT *, max(attempt) OVER (PARTITION BY job) AS last FROM j) WHERE attempt = last AND status = 'failed' AND reason = 'worker_crash' AND attempt < 9"""
+)
+def retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs, the first 400 events as attempts; nine tries at most."""
+    line = Window.partitionBy("user_id").orderBy("event_id")
+    rows = A.table(spark, sf_dir, "events").where("event_id < 400")
+    jobs = rows.select(
+        F.col("user_id").alias("job"), F.row_number().over(line).alias("attempt"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        F.when(F.col("event_id") % 2 == 0, "worker_crash").otherwise("encrypted").alias("reason"),
+    )
+    return N.next_attempts(jobs, 9)
+
+
+@query()
+def slot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs that take and release two slots."""
+    rows = A.table(spark, sf_dir, "events")
+    return N.slots(rows.select(F.col("user_id").alias("run"), F.col("event_id").alias("arrival"), F.when(F.col("event_type").isin("click", "view", "signup"), "take").otherwise("release").alias("kind")))
+
+
+_CROP = "greatest(8, ceil((y1 - y0) * 0.1))"
+
+
+@query(
+    S.with_(
+        S.OBJECTS,
+        f"""p AS (SELECT *, {_CROP} AS pad FROM (SELECT DISTINCT * FROM objects))""",
+        """c AS (SELECT *, greatest(0, floor(x0 - pad)) AS a, greatest(0, floor(y0 - pad)) AS b, least(200, ceil(x1 + pad)) AS c, least(150, ceil(y1 + pad)) AS d,
+          floor(x0 - pad) < 0 OR floor(y0 - pad) < 0 OR ceil(x1 + pad) > 200 OR ceil(y1 + pad) > 150 AS clipped FROM p)""",
+        select="""SELECT page, idx, CAST(a AS INTEGER) AS cx0, CAST(b AS INTEGER) AS cy0, CAST(c AS INTEGER) AS cx1, CAST(d AS INTEGER) AS cy1, clipped,
+          CASE WHEN c - a <= 0 OR d - b <= 0 THEN 'empty' END AS problem FROM c""",
+    )
+)
+def crop_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object of a page as a region of a raster of 200 by 150 pixels."""
+    rows = A.objects(spark, sf_dir).distinct()
+    rows = rows.select("page", "idx", G.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("region"), F.lit(200).alias("w"), F.lit(150).alias("h"))
+    out = Y.plan_crop(rows, "region", "w", "h")
+    return out.select("page", "idx", F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"), "clipped", "problem")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN 'status' WHEN doc_id % 10 = 1 AND regexp_matches(text, '[0-9]') THEN 'unfinished' WHEN doc_id % 10 = 5 AND regexp_matches(text, '[0-9]') THEN 'no_findings' WHEN doc_id % 10 = 7 THEN 'count' END AS problem FROM documents"""
+)
+def reading_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    rows = A.table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_sha256"), F.lit(0).alias("page_index"), F.lit("check").alias("check_id"),
+        F.when(k == 2, "running").when(k == 1, "failed").otherwise("completed").alias("status"), F.when(F.col("text").rlike("[0-9]") & (k != 2), "useful_finding").alias("resolution"),
+        F.when(k != 5, F.array(F.lit("f"))).alias("finding_ids"), F.lit(None).cast("string").alias("comparison_ref"), F.when(k == 7, -1).otherwise(1).alias("occurrence_count"), F.array(F.lit(0.5)).alias("errors"),
+    )
+    return N.reading_problems(rows).select("doc_id", "problem")
+
+
+@query(
+    """SELECT o_custkey % 40 AS run, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS native_text, min(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS ocr, min(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS alignment
+    FROM orders GROUP BY 1"""
+)
+def first_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as checks of 40 runs, in the order of their keys; the status stands for the capability."""
+    s = F.col("o_orderstatus")
+    rows = A.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 40).alias("run"), F.lit(0).alias("page_index"), F.col("o_orderkey").alias("check_id"), F.when(s == "F", "native_text").when(s == "O", "ocr").when(s == "P", "alignment").alias("capability"), F.col("o_orderkey").alias("seq")
+    )
+    return N.first_checks(rows).drop("page_index")
