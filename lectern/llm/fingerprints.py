@@ -10,6 +10,10 @@ and keeps the term of least a, with its t. Two texts' samples of a bin are equal
 generalised Jaccard similarity of the bin's weights; the share of equal samples among bins that either text fills
 estimates that of the whole. Dealing terms into bins makes the cost one draw a term, whatever the number of samples.
 
+Bins must weigh about the same for that, so a term of more weight than SHARE is dealt as several: the first SHARE, the
+next, and so on. The least and the greatest of two weights are the sums of those of their shares, so generalised Jaccard
+similarity stays what it was.
+
 All work on a text stays in its row: term hashes are sorted, runs counted, draws packed into longs as (bin, ln a, mark)
 and sorted again, so the first of each bin is its sample.
 """
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import SHINGLE_WORDS, split_words, table
 
 BINS = 128
+#: The most weight of a term in one bin; what is over goes into further bins.
+SHARE = 2
 #: Cuts of the order of ids, at most; each piece between two is put in order by itself.
 CUTS = 2048
 
@@ -58,7 +64,19 @@ def samples(text: str, df: DataFrame, out: str, n: int = SHINGLE_WORDS) -> DataF
     starts = F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: (i == 0) | (F.get(hs, i) != F.get(hs, i - 1)))
     df = df.withColumn(first, F.when(F.size(hs) > 0, starts).otherwise(F.array().cast("array<int>")))
     at = F.col(first)
-    drawn = F.transform(at, lambda p, j: _draw(F.get(hs, p), F.coalesce(F.get(at, j + 1), F.size(hs)) - p))
+    weight = lambda p, j: F.coalesce(F.get(at, j + 1), F.size(hs)) - p
+    drawn = F.transform(at, lambda p, j: _draw(F.get(hs, p), F.least(weight(p, j), F.lit(SHARE))))
+    none = F.array().cast("array<bigint>")
+
+    def others(p: Column, j: Column) -> Column:
+        w = weight(p, j)
+        parts = F.sequence(F.lit(1), F.ceil(w / F.lit(SHARE)).cast("int") - 1)
+        each = lambda k: _draw(F.xxhash64(F.get(hs, p), k), F.least(w - SHARE * k, F.lit(SHARE)))
+        return F.when(w > SHARE, F.transform(parts, each)).otherwise(none)
+
+    # only texts that repeat themselves have any
+    heavy = F.exists(at, lambda p: F.coalesce(F.get(hs, p + SHARE) == F.get(hs, p), F.lit(False)))
+    drawn = F.when(heavy, F.concat(drawn, F.flatten(F.transform(at, others)))).otherwise(drawn)
     df = df.withColumn(out, F.sort_array(drawn))
     got = F.col(out)
     bin_of = lambda x: F.shiftright(x, 56)
