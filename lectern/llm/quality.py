@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import map_chunks, pieces, table, without
 
-CONTENT, SOURCES, LANGS = 2048, 64, 16
+CONTENT, SOURCES, LANGS = 1024, 64, 16
 LAYOUT = 10
 METADATA = LAYOUT + SOURCES + LANGS
 _MIX = np.uint32(0x9E3779B1)
@@ -35,7 +35,7 @@ def content(text: bytes) -> np.ndarray:
     if len(b) < 3:
         return np.zeros(CONTENT, dtype=np.float32)
     code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * _MIX
-    x = np.log1p(np.bincount(code >> np.uint32(21), minlength=CONTENT)).astype(np.float32)
+    x = np.log1p(np.bincount(code >> np.uint32(22), minlength=CONTENT)).astype(np.float32)
     return x / np.sqrt((x * x).sum())
 
 
@@ -161,7 +161,7 @@ def co_train(x: tuple, y: np.ndarray, pool: tuple, rounds: int = 4, share: float
     return Model(prior, w[0], w[1], (one, two, last), hits, sum(map(len, taken)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 6000, label: str = "quality", **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int = 4000, label: str = "quality", **how) -> Model:
     """Co-trains on at most `labelled` rows with labels 0 or 1 and `pool` others, the first by a hash of doc_id.
 
     Repeated labels of an id count once if they agree and are left out if not, as null ids and labels are. An id that
@@ -188,11 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int =
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("y"), pa.array(raw, pa.binary())], ["k", "y", "x"])
 
     found = map_chunks(sample.select("doc_id", "text", *named, "y"), run, "k long, y int, x binary")
-    got = found.orderBy("k", "x").limit(labelled + pool).collect()
-    x = np.array([np.frombuffer(r.x, dtype="<f2") for r in got], dtype=np.float32).reshape(-1, CONTENT + METADATA)
-    y = np.array([r.y for r in got])
-    split = lambda keep: (x[keep][:, :CONTENT], x[keep][:, CONTENT:])
-    return co_train(split(y >= 0), y[y >= 0].astype(float), split(y < 0), **how)
+    got = found.orderBy(F.desc("y"), "k", "x").limit(labelled + pool)  # an id may come often: the bound holds for rows too
+    x, y = np.zeros((labelled + pool, CONTENT + METADATA), dtype=np.float32), []
+    for r in got.toLocalIterator():
+        x[len(y)] = np.frombuffer(r.x, dtype="<f2")
+        y.append(r.y)
+    n, known_rows = len(y), sum(v >= 0 for v in y)
+    order = np.argsort([zlib.crc32(b"%d" % i) for i in range(known_rows)], kind="stable")  # labels come sorted
+    x[:known_rows] = x[:known_rows][order]
+    part = lambda a, b: (x[a:b, :CONTENT], x[a:b, CONTENT:])
+    return co_train(part(0, known_rows), np.array(y[:known_rows], dtype=float)[order], part(known_rows, n), **how)
 
 
 _SCORES = ("p_text", "p_page", "score")
