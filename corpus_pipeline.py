@@ -8,6 +8,10 @@ from lectern.llm import decontaminate, ngram_join, packing, quality, secrets
 from lectern.llm.common import cut, table
 
 
+#: Distinct pieces of text that a worker keeps while it packs.
+KEPT_PIECES = 120_000
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,8 +34,9 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, a row for each piece of a document."""
-    return packing.pack(docs)
+    """Sequences of at most 2048 tokens, a row for each piece of a document. Workers have other stages to serve, so
+    they keep few pieces of text, and none after a task."""
+    return packing.pack(docs, kept=KEPT_PIECES)
 
 
 STAGES = [

@@ -10,7 +10,6 @@ the longest match is that word alone.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from itertools import chain, repeat
@@ -201,24 +200,32 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words
     item_id into blocks, and the documents pass one block after another with a written table in between, so a
     worker never holds more than one block's automaton. Documents are never shuffled.
     """
+    docs = without(docs, ["n_words", "hits", "items"])
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_ADDED).fields])
+    return _passes(docs, items, window, block_words, schema, _found(docs.columns))
+
+
+def _passes(docs: DataFrame, items: DataFrame, window: int, block_words: int, schema: T.StructType, last) -> DataFrame:
+    """The documents past all blocks of the benchmark; `last` makes the rows of the last pass."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    docs = without(docs, ["n_words", "hits", "items"])
-    kept = docs.columns
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_ADDED).fields])
+    between = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_ADDED).fields])
     out = docs
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         automaton = Automaton([(str(r.item_id), words(r.text)) for r in own.toLocalIterator()], window)
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = map_chunks(out, _finder(shared, kept, block > 0), schema)
         if block + 1 < blocks:
-            out = cut(out, "decontaminate")
+            out = cut(map_chunks(out, _pass(shared, block > 0, _found(docs.columns)), between), "decontaminate")
+        else:
+            out = map_chunks(out, _pass(shared, block > 0, last), schema)
     return out
 
 
-def _finder(shared, kept: list[str], more: bool):
+def _pass(shared, more: bool, make):
+    """A function of batches: finds hits and items, with those of earlier blocks, and hands them on."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs = [words(t) for t in batch.column("text").to_pylist()]
         hits, items = shared.value.scan(docs)
@@ -228,59 +235,67 @@ def _finder(shared, kept: list[str], more: bool):
         for hit, got, old, had in zip(hits, items, before, known):
             for x in old or ():
                 hit[x["first"] : x["last"]] = True
-            spans.append([{"first": a, "last": b} for a, b in (_spans(hit) if hit.any() else ())])
+            spans.append(_spans(hit) if hit.any() else [])
             ids.append(sorted(got | set(had)))
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(c) for c in kept],
-                pa.array([len(d) for d in docs], pa.int64()),
-                pa.array(spans, kind),
-                pa.array(ids, pa.list_(pa.string())),
-            ],
-            [*kept, "n_words", "hits", "items"],
-        )
+        return make(batch, [len(d) for d in docs], spans, ids)
 
     return run
 
 
-def _cleaned(text: str, spans: list[dict], least: int) -> str:
-    spans = [s for s in spans if s["last"] - s["first"] >= least]
+def _found(kept: list[str]):
+    def make(batch: pa.RecordBatch, sizes: list[int], spans: list, ids: list) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        named = [[{"first": a, "last": b} for a, b in s] for s in spans]
+        added = [pa.array(sizes, pa.int64()), pa.array(named, kind), pa.array(ids, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], [*kept, "n_words", "hits", "items"])
+
+    return make
+
+
+def _cleaned(text: str, spans: list[tuple[int, int]], least: int) -> str:
+    spans = [s for s in spans if s[1] - s[0] >= least]
     if not spans:
         return text
     at = [m.span() for m in _WORD.finditer(text)]
     out, begin = [], 0
-    for s in spans:
-        out.append(text[begin : at[s["first"]][0]])
-        begin = at[s["last"] - 1][1]
+    for first, last in spans:
+        out.append(text[begin : at[first][0]])
+        begin = at[last - 1][1]
     return "".join([*out, text[begin:]])
 
 
 def remove(
-    docs: DataFrame, items: DataFrame, *, window: int = WINDOW, least: int = 1, coverage: float = 0.5, **more
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    window: int = WINDOW,
+    least: int = 1,
+    coverage: float = 0.5,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """docs without benchmark spans: a document of which `coverage` or more of its words is hit goes; from the others
     each hit span of `least` words or more is cut out of text, and n_chars (if there) follows. Others stay as they are.
     """
-    found = find(docs, items, window=window, **more)
-    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    found = found.where(~((covered > 0) & (covered >= F.col("n_words") * F.lit(coverage))))
-    names, types = docs.columns, found.select(docs.columns).schema
+    names = docs.columns
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
-        new = [_cleaned(t, s, least) if s else t for t, s in zip(texts, spans, strict=True)]
+    def make(batch: pa.RecordBatch, sizes: list[int], spans: list, ids: list) -> pa.RecordBatch:
+        hit = [sum(b - a for a, b in s) for s in spans]
+        stay = [h == 0 or h < n * coverage for h, n in zip(hit, sizes, strict=True)]
         out = {c: batch.column(c) for c in names}
+        texts = out["text"].to_pylist()
+        new = [_cleaned(t, s, least) if s else t for t, s in zip(texts, spans, strict=True)]
         out["text"] = pa.array(new, pa.string())
         if "n_chars" in out:
             old = out["n_chars"].to_pylist()
-            out["n_chars"] = pa.array(
-                [len(n) if s and n is not None else o for n, s, o in zip(new, spans, old, strict=True)],
-                out["n_chars"].type,
-            )
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    return map_chunks(found, run, types)
+            n = [len(t) if s else o for t, s, o in zip(new, spans, old, strict=True)]
+            out["n_chars"] = pa.array(n, out["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out)).filter(pa.array(stay, pa.bool_()))
+
+    clash = [c for c in names if c.lower() in ("n_words", "hits", "items")]
+    if clash:  # their own columns would stand between blocks
+        plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+        return remove(plain, items, window=window, least=least, coverage=coverage, block_words=block_words).toDF(*names)
+    return _passes(docs, items, window, block_words, docs.schema, make)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LEAST_SIMILARITY, SHINGLE_WORDS, cut, map_chunks, table, words
+from lectern.llm.common import LEAST_SIMILARITY, SHINGLE_WORDS, cut, map_chunks, relax, table, words
 
 RECALL = 0.999
 BLOCK = 400
@@ -251,6 +251,7 @@ def links(
                 yield flush()
         if out:
             yield flush()
+        relax()
 
     verified = cut(groups.mapInArrow(run, "rep long, n_links long, other long"), "links")
     degree = verified.groupBy("rep").agg(F.sum("n_links").alias("n_links"))

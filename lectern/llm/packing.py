@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import partition_id, pieces, table
-from lectern.llm.tokens import WordBpe
+from lectern.llm.common import partition_id, pieces, relax, table
+from lectern.llm.tokens import KEPT, WordBpe
 
 SIZE, END_ID = 2048, 1
 #: Prices of cuts, in tokens of padding: at a sentence's end, elsewhere; and how often "elsewhere" is offered.
@@ -126,12 +126,13 @@ class Shard:
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, kept: int | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. Needs doc_id and text; other columns, whatever their names, are left out.
 
     Each input partition is a shard; its documents keep their order and are laid out as a stream, so a worker holds
-    about 128 sequences and one document. Null and empty texts are the end id alone; repeated rows and ids are packed
+    about 128 sequences and one document, and the pieces of text it has met: as many as suit a job that does nothing
+    else, or `kept` of them until the task's end. Null and empty texts are the end id alone; repeated rows and ids are packed
     each by itself; an empty table gives no rows. A text of any length is cut over as many sequences as it needs.
     """
     path = path or tokenizer_path()
@@ -139,6 +140,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.at(path)
+        bpe.most = kept or KEPT
         shard, last = Shard(bpe.sentence_ends(), partition_id(), size), np.array([END_ID], dtype="<u4")
         kind = None
         rows: list[tuple] = []
@@ -150,13 +152,16 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for part in pieces(batch, 1 << 22):
+            for part in pieces(batch, 1 << 22 if kept is None else 1 << 21):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.encode(texts), strict=True):
                     rows.extend(shard.add(doc_id, np.concatenate((ids, last))))
                 if len(rows) > 10_000:
                     yield out()
         rows.extend(shard.close())
+        if kept:
+            bpe.forget()
+            relax()
         if rows:
             yield out()
 

@@ -14,7 +14,7 @@ import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Distinct pieces that a worker keeps before it starts anew.
+#: Distinct pieces that a worker keeps (about 0.4 KB each); beyond that only those of the texts at hand stay.
 KEPT = 1_200_000
 _WORDY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 #: Stands for a line end among ids, whose upper two bytes are zero, so it is nowhere else in their bytes.
@@ -39,6 +39,7 @@ class WordBpe:
         self.own = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.most = KEPT
 
     @classmethod
     def at(cls, path: str) -> "WordBpe":
@@ -52,25 +53,30 @@ class WordBpe:
 
     def _learn(self, new: list[str]) -> None:
         """New runs without spaces: plain ones through their parts in lower case, odd ones as they are."""
-        if len(self.parts) > KEPT:
-            self.parts.clear()
         odd = [c for c in new if "<|" in c or not (c.isascii() or _plain(c))]
         self.chunks.update(zip(odd, self._library(odd), strict=True))
         taken = set(odd)
         plain = [c for c in new if c not in taken]
         pieces = _WORDY.findall("\n".join(plain).lower())
-        fresh = list(set(pieces).difference(self.parts))
+        own = set(pieces)
+        fresh = list(own.difference(self.parts))
+        if len(self.parts) + len(fresh) > self.most:
+            self.parts = {p: self.parts[p] for p in own.intersection(self.parts)}
         self.parts.update(zip(fresh, self._library(fresh), strict=True))
         self.parts["\n"] = _MARK
         self.chunks.update(zip(plain, b"".join(map(self.parts.__getitem__, pieces)).split(_MARK), strict=bool(plain)))
 
+    def forget(self) -> None:
+        """Frees what is kept; a worker lives on after its task."""
+        self.chunks, self.parts = {}, {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*runs).difference(self.chunks)
+        every = set().union(*runs)
+        new = every.difference(self.chunks)
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks = {c: self.chunks[c] for c in every.intersection(self.chunks)}
         if new:
-            if len(self.chunks) + len(new) > KEPT:
-                self.chunks.clear()
-                new = set().union(*runs)
             self._learn(list(new))
         get = self.chunks.__getitem__
         return [np.frombuffer(b"".join(map(get, r)), dtype="<u4") for r in runs]
