@@ -220,6 +220,14 @@ def test_likelihoods_do_not_depend_on_lanes():
     assert total == pytest.approx(1, rel=1e-4)
 
 
+def test_network_has_its_whole_size():
+    """24 units, and 256 lanes, so that the weights move every 32 words of a lane."""
+    vocab = M.Vocabulary.of([(b"a", 9), (M.END, 2)], 11)
+    assert M.Network(vocab).u.shape == (24, 72)
+    docs = [np.full(200, vocab.words[b"a"], dtype=np.int32)] * 1000
+    assert M.lanes(docs, vocab.words[M.END])[0].shape[1] == 256
+
+
 def _lm_rows(n=300):
     """Two languages: the words of one never follow those of the other."""
     r = random.Random(1)
