@@ -2,28 +2,30 @@
 
 Text content: counts of byte trigrams, hashed to CONTENT numbers. Page metadata: source, language, length and layout
 (lines, repeated lines, shares of capitals, digits, signs and spaces). Each view has a logistic regression of its own.
-In every round each classifier labels the rows of an unlabelled pool it is surest of, in the labels' proportion, and
-they join the other view's training set. Both are then calibrated on held-out labels (Platt), their log-odds are put
-together and calibrated once more, and all documents are scored.
+In every round each classifier labels all unlabelled documents; those it is surest of, in the labels' proportion, join
+the other view's training set. Both are then calibrated on held-out labels (Platt), their log-odds are put together and
+calibrated once more, and all documents are scored.
 
-Only the fit is on bounded samples, by the order of a hash of the ids: at most `labelled` labelled rows and `pool`
-others (documented parameters, see `fit`). Their features, not their texts, come to the driver.
+Only labelled rows are sampled, at most `labelled` by the order of a hash of the ids (see `fit`). The features, not the
+texts, of these and of the documents that join come to the driver.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_chunks, pieces, table, without
+from lectern.llm.common import cut, map_chunks, pieces, table, without
 
-CONTENT, SOURCES, LANGS = 1024, 64, 16
+CONTENT, SOURCES, LANGS = 2048, 64, 16
 LAYOUT = 10
 METADATA = LAYOUT + SOURCES + LANGS
 _MIX = np.uint32(0x9E3779B1)
@@ -35,7 +37,7 @@ def content(text: bytes) -> np.ndarray:
     if len(b) < 3:
         return np.zeros(CONTENT, dtype=np.float32)
     code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * _MIX
-    x = np.log1p(np.bincount(code >> np.uint32(22), minlength=CONTENT)).astype(np.float32)
+    x = np.log1p(np.bincount(code >> np.uint32(21), minlength=CONTENT)).astype(np.float32)
     return x / np.sqrt((x * x).sum())
 
 
@@ -127,32 +129,25 @@ class Model:
         return t, m, e * (t + m) + f
 
 
-def co_train(x: tuple, y: np.ndarray, pool: tuple, rounds: int = 4, share: float = 0.1, sure: float = 0.9) -> Model:
-    """x, pool: (content, metadata) of labelled rows and of others; y: 0 or 1. Every fifth labelled row is held out for
-    calibration. Each round adds at most `share` of the pool, and only what a view holds `sure` or more."""
+def co_train(x: tuple, y: np.ndarray, draw: Callable[[list, float], list], rounds: int = 4) -> Model:
+    """x: (content, metadata) of labelled rows; y: 0 or 1. Every fifth labelled row is held out for calibration.
+    draw, given each view's (weights, a, b) and the share of good labels, has the rows and labels that join each view."""
     prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
     held = np.arange(len(y)) % 5 == 4
     fit = ~held
     if min((y[fit] == 1).sum(), (y[fit] == 0).sum()) < 3 or min((y[held] == 1).sum(), (y[held] == 0).sum()) < 1:
         return Model(prior)
-    taken = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)]
+    taken = [np.zeros((0, x[v].shape[1]), dtype=x[v].dtype) for v in (0, 1)]
     given = [np.zeros(0), np.zeros(0)]
-    n = len(pool[0])
-    quota = int(n * share)
-    for _ in range(rounds + 1):
-        w = [logistic(np.concatenate((x[v][fit], pool[v][taken[v]])), np.concatenate((y[fit], given[v]))) for v in (0, 1)]
-        if _ == rounds or not quota:
+    for k in range(rounds + 1):
+        w = [logistic(np.concatenate((x[v][fit], taken[v])), np.concatenate((y[fit], given[v]))) for v in (0, 1)]
+        if k == rounds:
             break
-        for v in (0, 1):  # view v teaches the other
-            a, b = platt(_odds(x[v][held], w[v]), y[held])
-            p = 1 / (1 + np.exp(-np.clip(a * _odds(pool[v], w[v]) + b, -30, 30)))
-            free = np.ones(n, dtype=bool)
-            free[taken[1 - v]] = False
-            for label, own, most in ((1, p, int(quota * prior)), (0, 1 - p, int(quota * (1 - prior)))):
-                best = np.flatnonzero(free & (own >= sure))
-                best = best[np.argsort(-own[best], kind="stable")][:most]
-                taken[1 - v] = np.append(taken[1 - v], best)
-                given[1 - v] = np.append(given[1 - v], np.full(len(best), float(label)))
+        found = draw([(w[v], *platt(_odds(x[v][held], w[v]), y[held])) for v in (0, 1)], prior)
+        if not any(len(labels) for _, labels in found):
+            break
+        for v, (rows, labels) in enumerate(found):
+            taken[v], given[v] = np.concatenate((taken[v], rows)), np.append(given[v], labels)
     views = (x[0][held], x[1][held])
     one, two = platt(_odds(views[0], w[0]), y[held]), platt(_odds(views[1], w[1]), y[held])
     both = one[0] * _odds(views[0], w[0]) + one[1] + two[0] * _odds(views[1], w[1]) + two[1]
@@ -161,8 +156,60 @@ def co_train(x: tuple, y: np.ndarray, pool: tuple, rounds: int = 4, share: float
     return Model(prior, w[0], w[1], (one, two, last), hits, sum(map(len, taken)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int = 4000, label: str = "quality", **how) -> Model:
-    """Co-trains on at most `labelled` rows with labels 0 or 1 and `pool` others, the first by a hash of doc_id.
+def _marks(batch: pa.RecordBatch) -> np.ndarray:
+    texts = batch.column("text").to_pylist()
+    return np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) >> 1 for t in texts], dtype=np.int64)
+
+
+def _features(sample: DataFrame, names: list[str]) -> DataFrame:
+    """k (hash of doc_id), mark (of the text), y, and x, both views' features in half precision, of sample's rows."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, page = _views(batch)
+        raw = [np.concatenate((t, p)).astype("<f2").tobytes() for t, p in zip(text, page, strict=True)]
+        key = [zlib.crc32(repr(i).encode()) for i in batch.column("doc_id").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(_marks(batch)), batch.column("y"), pa.array(raw, pa.binary())], ["k", "mark", "y", "x"])
+
+    return map_chunks(sample.select(*names, "y"), run, "k long, mark long, y int, x binary")
+
+
+def surest(docs: DataFrame, marked: DataFrame, names: list[str], lines: list, taken: list, most: dict, sure: float) -> list:
+    """view, label, mark and doc_id of the documents that join a view: of all documents without a row in `marked` those
+    that the other view is surest of, `most[label]` at most. Copies of a text count once; `taken` are each view's marks
+    that have joined. Tasks send what a view holds `sure` or more, without texts or features."""
+    shared = docs.sparkSession.sparkContext.broadcast((lines, [np.array(sorted(t), dtype=np.int64) for t in taken]))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        views, marks = _views(batch), _marks(batch)
+        at, cols = [], [[], [], [], []]
+        for v in (0, 1):  # view v teaches the other
+            w, a, b = shared.value[0][v]
+            p = 1 / (1 + np.exp(-np.clip(a * _odds(views[v], w) + b, -30, 30)))
+            free = ~np.isin(marks, shared.value[1][1 - v])
+            for label, own in ((1, p), (0, 1 - p)):
+                best = np.flatnonzero(free & (own >= sure))
+                at.append(best)
+                for col, values in zip(cols, (np.full(len(best), 1 - v), np.full(len(best), label), marks[best], own[best].astype(np.float64)), strict=True):
+                    col.append(values)
+        ids = batch.column("doc_id").take(pa.array(np.concatenate(at)))
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c)) for c in cols]], ["doc_id", "view", "label", "mark", "own"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = map_chunks(docs.where("doc_id IS NOT NULL").select(*names), run, f"doc_id {kind}, view long, label long, mark long, own double")
+    found = found.join(marked.select("doc_id"), "doc_id", "left_anti")
+    found = found.groupBy("view", "mark").agg(F.max(F.struct("own", "label", "doc_id")).alias("best"))
+    found = cut(found.select("view", "mark", "best.*"), "surest")
+    out = []
+    for view in (0, 1):
+        for label, n in most.items():
+            out += found.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("own"), "mark").limit(n).collect()  # bounded
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 6000, label: str = "quality", share: float = 0.1, sure: float = 0.9, **how) -> Model:
+    """Co-trains on at most `labelled` rows with labels 0 or 1, the first by a hash of doc_id, and on documents without
+    labels. In each round the other view's surest of all of these join a view, and only what it holds `sure` or more:
+    at most `share` of their number, or of `pool` if they are more.
 
     Repeated labels of an id count once if they agree and are left out if not, as null ids and labels are. An id that
     several documents have takes the label for each, up to the bound again."""
@@ -170,34 +217,47 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int =
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
     marks = marks.agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", F.col("y").cast("int"))
     order = F.xxhash64("doc_id", F.lit("quality"))
-    known = marks.withColumn("o", order).orderBy("o", "doc_id").limit(labelled).drop("o")
-    others = docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    others = others.withColumn("o", order).orderBy("o", "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("y"))
-    rows = known.unionByName(others).collect()  # bounded by both limits
+    rows = marks.withColumn("o", order).orderBy("o", "doc_id").limit(labelled).drop("o").collect()  # bounded
     if not rows:
         return Model(0.5)
-    kind = T.StructType([T.StructField("own", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())])
-    chosen = spark.createDataFrame([(r.doc_id, r.y) for r in rows], kind)
-    named = [c for c in ("source", "lang") if c in docs.columns]
-    sample = docs.select("doc_id", "text", *named).join(F.broadcast(chosen), F.col("doc_id") == F.col("own"))
+    id_type = docs.schema["doc_id"].dataType
+    names = ["doc_id", "text", *[c for c in ("source", "lang") if c in docs.columns]]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, page = _views(batch)
-        raw = [np.concatenate((t, p)).astype("<f2").tobytes() for t, p in zip(text, page, strict=True)]
-        key = [zlib.crc32(repr(i).encode()) for i in batch.column("doc_id").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column("y"), pa.array(raw, pa.binary())], ["k", "y", "x"])
+    def chosen(ids: list[tuple]) -> DataFrame:
+        kind = T.StructType([T.StructField("own", id_type), T.StructField("y", T.IntegerType())])
+        sample = docs.select(*names).join(F.broadcast(spark.createDataFrame(ids, kind)), F.col("doc_id") == F.col("own"))
+        return _features(sample, names)
 
-    found = map_chunks(sample.select("doc_id", "text", *named, "y"), run, "k long, y int, x binary")
-    got = found.orderBy(F.desc("y"), "k", "x").limit(labelled + pool)  # an id may come often: the bound holds for rows too
-    x, y = np.zeros((labelled + pool, CONTENT + METADATA), dtype=np.float32), []
+    x, y = np.zeros((labelled, CONTENT + METADATA), dtype=np.float32), []
+    got = chosen([(r.doc_id, r.y) for r in rows]).orderBy("k", "x").limit(labelled)  # an id may come often: the bound holds for rows too
     for r in got.toLocalIterator():
         x[len(y)] = np.frombuffer(r.x, dtype="<f2")
         y.append(r.y)
-    n, known_rows = len(y), sum(v >= 0 for v in y)
-    order = np.argsort([zlib.crc32(b"%d" % i) for i in range(known_rows)], kind="stable")  # labels come sorted
-    x[:known_rows] = x[:known_rows][order]
-    part = lambda a, b: (x[a:b, :CONTENT], x[a:b, CONTENT:])
-    return co_train(part(0, known_rows), np.array(y[:known_rows], dtype=float)[order], part(known_rows, n), **how)
+    x = x[: len(y)]
+    split = lambda a: (a[:, :CONTENT], a[:, CONTENT:])
+    others = docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
+    quota = int(others.limit(pool).count() * share)
+    taken: list[set[int]] = [set(), set()]
+
+    def draw(lines: list, prior: float) -> list:
+        most = {1: int(quota * prior), 0: int(quota * (1 - prior))}
+        found = surest(docs, labels, names, lines, taken, most, sure) if quota else []
+        ids = sorted({r.doc_id for r in found})
+        own: dict[int, np.ndarray] = {}
+        wanted = {r.mark for r in found}
+        for r in chosen([(i, -1) for i in ids]).toLocalIterator() if ids else ():
+            if r.mark in wanted:
+                # of rows with one text the same counts, whatever their order
+                own[r.mark] = min(own.get(r.mark, r.x), r.x)
+        out = []
+        for view in (0, 1):
+            mine = [r for r in found if r.view == view]
+            taken[view].update(r.mark for r in mine)
+            raw = np.array([np.frombuffer(own[r.mark], dtype="<f2") for r in mine], dtype=np.float32).reshape(-1, CONTENT + METADATA)
+            out.append((split(raw)[view], np.array([float(r.label) for r in mine])))
+        return out
+
+    return co_train(split(x), np.array(y, dtype=float), draw, **how)
 
 
 _SCORES = ("p_text", "p_page", "score")

@@ -299,6 +299,38 @@ def test_held_out_accuracy(spark):
     assert all(0 <= got[i].p_text <= 1 and 0 <= got[i].p_page <= 1 for i in got)
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    """With room for few a round, what joins are the surest of all unlabelled documents, copies once."""
+    rows, labels = _quality_rows()
+    rows += [(1000 + k, *rows[0][1:]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    seen = []
+    own = Q.surest
+
+    def watched(*how):
+        seen.append((how[3], how[5], own(*how)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(Q, "surest", watched)
+    Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), pool=40)
+    lines, most, found = seen[0]
+    marked = {i for i, _, _ in labels}
+    odds = {}
+    for i, text, source, lang, _ in rows:
+        if i not in marked:
+            w, a, b = lines[0]
+            p = 1 / (1 + math.exp(-(a * float(Q._odds(Q.content(text.encode())[None], w)[0]) + b)))
+            odds[text] = max(odds.get(text, 0.0), p)
+    best = sorted((p for p in odds.values() if p >= 0.9), reverse=True)[: most[1]]
+    texts = {i: t for i, t, *_ in rows}
+    got = sorted((odds[texts[r.doc_id]] for r in found if r.view == 1 and r.label == 1), reverse=True)
+    assert len(best) == most[1] and got == pytest.approx(best, abs=1e-6)
+    for view in (0, 1):
+        joined = [r.mark for _, _, f in seen for r in f if r.view == view]
+        assert len(joined) == len(set(joined))
+    assert Q.CONTENT == 2048 and Q.content(b"some text").shape == (2048,)
+
+
 def test_scores_without_labels_and_odd_rows(spark):
     kind = "doc_id long, text string, source string, lang string"
     docs = spark.createDataFrame([(1, None, None, None), (1, "", "s", "en"), (2, "x" * 100_000, "s", "en"), (None, "a", "s", "en"), (2, "x" * 100_000, "s", "en")], kind)
