@@ -6,15 +6,18 @@ pages has entropy ln k / ln m; a node's importance is 1 minus the mean entropy o
 say the same on every page have little of it, and their branches are removed from each page, as are single blocks that
 most of a host's pages repeat. Copies of a page count once.
 
-What markup says outright comes first: elements for menus, forms, scripts and the like, and such roles and class names,
-are presentation of no importance, and an <article> or <main> is content, which entropy alone does not remove.
+Markup says where to look: elements for menus, forms, scripts and the like, and such roles and class names, are
+presentation of no importance, and where a page has an <article> or <main>, the rest of it is too. Inside, markup is a
+prior on importance and no more: PRIOR is added to a node's importance, and blocks that pages repeat go as elsewhere.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Mapping, Set
 from dataclasses import dataclass, field
+from types import MappingProxyType
 
 import pyarrow as pa
 import xxhash
@@ -25,6 +28,8 @@ from lectern.llm.common import cut, map_chunks, table
 
 #: A node under this importance goes, once so many distinct pages of its host have it.
 IMPORTANCE, PAGES = 0.3, 8
+#: What being in an <article> or <main> adds to a node's importance.
+PRIOR = 0.15
 #: A block that this share of a node's pages repeat goes.
 REPEATED = 0.5
 #: Nodes and blocks to remove that are sent to every task at most; more are joined to the pages by host.
@@ -154,13 +159,13 @@ def _feature(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def main_text(page: Page, nodes: set[int] = frozenset(), blocks: set[tuple[int, int]] = frozenset()) -> str:
-    """The page's text without what markup, `nodes` (paths) or `blocks` (path, feature) say is none of the article."""
+def main_text(page: Page, nodes: Mapping[int, float] = MappingProxyType({}), blocks: Set[tuple[int, int]] = frozenset()) -> str:
+    """The page's text without what markup, `nodes` (importance by path) or `blocks` (path, feature) say is none of the
+    article."""
     kept = [b for b in page.blocks if not b[2]]
     level = max((b[3] for b in kept), default=0)
-    kept = [b for b in kept if b[3] == level]
-    if level < 2:
-        kept = [b for b in kept if b[1] not in nodes and (b[1], _feature(b[0])) not in blocks]
+    prior = PRIOR if level >= 2 else 0.0
+    kept = [b for b in kept if b[3] == level and nodes.get(b[1], 1.0) + prior >= IMPORTANCE and (b[1], _feature(b[0])) not in blocks]
     return " ".join(b[0] for b in kept)
 
 
@@ -205,23 +210,23 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     nodes, often = style_tree(pages)
     low = nodes.where((F.col("pages") >= PAGES) & (F.col("importance") < IMPORTANCE))
-    tree = often.unionByName(low.select("host", "path", F.lit(-1).cast("long").alias("feature")))
+    tree = often.withColumn("importance", F.lit(1.0)).unionByName(low.select("host", "path", F.lit(-1).cast("long").alias("feature"), "importance"))
     few = tree.limit(BROADCAST_ROWS + 1).collect()  # bounded
     small = len(few) <= BROADCAST_ROWS
     names = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
     shared = None
     source = pages.select(*names)
     if small:
-        known: dict[str, tuple[set, set]] = {}
+        known: dict[str, tuple[dict, set]] = {}
         for r in few:
-            out, repeated = known.setdefault(r.host, (set(), set()))
+            out, repeated = known.setdefault(r.host, ({}, set()))
             if r.feature < 0:
-                out.add(r.path)
+                out[r.path] = r.importance
             else:
                 repeated.add((r.path, r.feature))
         shared = pages.sparkSession.sparkContext.broadcast(known)
     else:
-        own = tree.groupBy("host").agg(F.collect_list(F.struct("path", "feature")).alias("_tree")).withColumnRenamed("host", "_host")
+        own = tree.groupBy("host").agg(F.collect_list(F.struct("path", "feature", "importance")).alias("_tree")).withColumnRenamed("host", "_host")
         where = F.coalesce(F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
         source = source.join(own, where == F.col("_host"), "left").drop("_host")
 
@@ -230,10 +235,10 @@ def extract(pages: DataFrame) -> DataFrame:
         trees = None if shared else batch.column("_tree").to_pylist()
         for k, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if shared:
-                out, repeated = shared.value.get(host(url), (frozenset(), frozenset()))
+                out, repeated = shared.value.get(host(url), ({}, frozenset()))
             else:
-                out = {x["path"] for x in trees[k] or () if x["feature"] < 0}
-                repeated = {(x["path"], x["feature"]) for x in trees[k] or ()}
+                out = {x["path"]: x["importance"] for x in trees[k] or () if x["feature"] < 0}
+                repeated = {(x["path"], x["feature"]) for x in trees[k] or () if x["feature"] >= 0}
             texts.append(main_text(parse(page), out, repeated))
         return pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"]

@@ -322,6 +322,30 @@ def test_style_tree_removes_what_all_pages_say(spark):
     assert got[100] == "only this page" and got[200] == "" and got[201] == "x"
 
 
+@pytest.mark.parametrize("most", [H.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_style_tree_acts_inside_content_markup(spark, monkeypatch, tag, most):
+    """Unnamed blocks that a host repeats inside <article> or <main> go; few pages, or another host's, say nothing."""
+    monkeypatch.setattr(H, "BROADCAST_ROWS", most)
+    r = random.Random(2)
+    own = [" ".join(r.choices("abcdefgh", k=12)) + str(i) for i in range(20)]
+    page = f"<body><nav>menu</nav><{tag}><h1>%s</h1><div class=k1>Offers this week</div><p>%s</p><p>Read more of this kind</p></{tag}></body>"
+    rows = [(i, "https://a.example/p", page % (f"title {i}", own[i])) for i in range(20)]
+    rows += [(100 + i, "https://few.example/p", page % (f"title {i}", own[i])) for i in range(3)]
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == [f"title {i} {own[i]}" for i in range(20)]
+    assert [got[100 + i] for i in range(3)] == [f"title {i} Offers this week {own[i]} Read more of this kind" for i in range(3)]
+
+
+def test_markup_is_a_prior_on_importance():
+    page = H.parse("<article><p>x</p></article>")
+    path = page.blocks[0][1]
+    low = H.IMPORTANCE - H.PRIOR
+    assert H.main_text(page, {path: low + 0.01}) == "x" and H.main_text(page, {path: low - 0.01}) == ""
+    page = H.parse("<div><p>x</p></div>")
+    assert H.main_text(page, {page.blocks[0][1]: low + 0.01}) == ""
+
+
 def test_large_trees_are_joined(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.example/", f"<body><div class=a>Same for all</div><div class=b>own {i}</div></body>") for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
