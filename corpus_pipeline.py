@@ -19,8 +19,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies the document with the smallest id stays."""
-    return ngram_join.first_of_each(docs)
+    """Of each group of copies and near copies one row stays, of the smallest id if there is one."""
+    return ngram_join.first_of_each(docs, repeats=False)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

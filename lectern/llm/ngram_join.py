@@ -81,8 +81,9 @@ def band_hashes(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, n: int, bands: tuple[int, int] | None) -> DataFrame:
-    """doc_id, text_hash (of the n-gram set; null for no words), and band hashes, or without bands the set itself."""
+def _texts(docs: DataFrame, n: int, bands: tuple[int, int] | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_hash (of the n-gram set; null for no words), band hashes, or without bands the set itself, and the
+    columns in carry."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, own = [], []
@@ -92,12 +93,13 @@ def _texts(docs: DataFrame, n: int, bands: tuple[int, int] | None) -> DataFrame:
             got = s if bands is None else band_hashes(s, *bands) if len(s) else s
             own.append(got.astype(np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(own, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "hashes"],
+            [batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(own, pa.list_(pa.int64())), *[batch.column(c) for c in carry]],
+            ["doc_id", "text_hash", "hashes", *carry],
         )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {id_type}, text_hash string, hashes array<long>")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    more = "".join(f", `{c}` {kind(c)}" for c in carry)
+    return map_chunks(docs.select("doc_id", "text", *carry), run, f"doc_id {kind('doc_id')}, text_hash string, hashes array<long>{more}")
 
 
 def _verify(signs: np.ndarray, sets: list[np.ndarray], band: int, side: np.ndarray, alone: bool, least: float):
@@ -203,9 +205,14 @@ def links(
     class only where no id does. Other columns, whatever their names, are left out; an empty table gives no rows.
     Recall at `least` is `recall` by the choice of bands, higher above it; what is linked is exact on full sets.
     """
+    return _linked(docs, (), n, least, recall, block).drop("component")
+
+
+def _linked(docs: DataFrame, carry: tuple[str, ...], n: int, least: float, recall: float, block: int) -> DataFrame:
+    """links(docs) with the columns in carry and `component`, a number of the row's class; null for texts without words."""
     rows_bands = choose_bands(least, recall)
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    every = cut(_texts(docs, n, rows_bands), "texts")
+    every = cut(_texts(docs, n, rows_bands, carry), "texts")
     worded = every.where("text_hash IS NOT NULL")
     classes = worded.groupBy("text_hash").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first("hashes").alias("signs"))
     classes = cut(classes.withColumn("rep", F.xxhash64("text_hash")), "classes")
@@ -258,26 +265,38 @@ def links(
     labels = components(verified.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     linked = cut(classes.drop("signs").join(degree, "rep").join(labels.withColumnRenamed("v", "rep"), "rep"), "linked")
     ids = cut(linked.groupBy("label").agg(F.min("text_id").alias("class_id")), "ids")
-    linked = linked.join(ids, "label").select("rep", "class_id", "n_links")
+    linked = linked.join(ids, "label").select("rep", "class_id", "n_links", "label")
     named = classes.drop("signs").join(linked, "rep", "left").select(
-        "text_hash", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "text_hash", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "rep").alias("component")
     )
-    full = worded.select("doc_id", "text_hash").join(cut(named, "named"), "text_hash").drop("text_hash")
+    full = worded.select("doc_id", "text_hash", *carry).join(cut(named, "named"), "text_hash").drop("text_hash")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     own = F.col("doc_id")
     bare = every.where("text_hash IS NULL").select(
-        own, own.alias("text_id"), own.alias("class_id"), one.alias("n_copies"), none.alias("n_links")
+        own, *carry, own.alias("text_id"), own.alias("class_id"), one.alias("n_copies"), none.alias("n_links"), F.lit(None).cast("long").alias("component")
     )
     return full.unionByName(bare)
 
 
-def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without the members of a class other than the one that names it; one row where ids repeat in a class.
-    Rows without words or without doc_id stay."""
-    found = links(docs, **how)
-    gone = cut(found.where("doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+def first_of_each(docs: DataFrame, *, repeats: bool = True, n: int = SHINGLE_WORDS, least: float = LEAST_SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs without the members of a class other than the one that names it. Rows without words stay.
+
+    With repeats, all rows of the class that have its id stay, and those without doc_id; without, one row of each class
+    does, of the smallest id if there is one. Rows are told apart by a key of their own in a written table, so an id's
+    other rows stay where one of them is a copy."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = _linked(rows, ("_row",), n, least, recall, block).where("component IS NOT NULL")
+    found = cut(found.select("_row", "doc_id", "class_id", "component"), "found")
+    if repeats:
+        gone = found.where("doc_id != class_id").select("_row")
+    else:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "_row")).alias("first")
+        kept = cut(found.groupBy("component").agg(first).select("first._row"), "kept")
+        gone = found.select("_row").join(kept, "_row", "left_anti")
+    gone = cut(gone.select(F.col("_row").alias("gone")), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    left = rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("gone"), "left_anti")
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

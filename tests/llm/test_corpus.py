@@ -161,6 +161,22 @@ def test_links_of_odd_rows(spark):
     assert sorted(str(x.doc_id) for x in kept) == ["1", "2", "7", "7", "None", "None"]
 
 
+@pytest.mark.parametrize("few", [N.BROADCAST_IDS, 0])
+def test_one_row_of_each_class_stays(spark, monkeypatch, few):
+    """Also where an id has several texts, rows are repeated, or have no id."""
+    monkeypatch.setattr(N, "BROADCAST_IDS", few)
+    rows = [
+        (1, "one of a kind that no other row says"), (1, "a b c d e f"), (0, "a b c d e f"), (7, "g h i j k l"), (7, "g h i j k l"), (9, "G, h i j k l"), (None, "g h i j k l"),
+        (None, "m n o p q r"), (None, "m n o p q r"), (None, "s t u v w x"), (2, ""), (2, None), (None, "..."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda found: sorted(map(str, ((x.doc_id, x.text) for x in found)))
+    whole = [rows[0], rows[2], rows[3], rows[7], *rows[9:]]
+    assert key(N.first_of_each(df, repeats=False).collect()) == sorted(map(str, whole))
+    assert key(corpus_pipeline.single(spark, df, "").collect()) == sorted(map(str, whole))
+    assert str(rows[0]) in key(N.first_of_each(df).collect())
+
+
 def test_bands_reach_their_recall():
     rows, bands = N.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and rows * bands <= 160
