@@ -165,6 +165,47 @@ def test_templates_drift(spark):
     assert sorted(got) == [(0, "mit", 0), (1, "", 0), (1, "", 0)]
 
 
+def test_no_permissive_label_on_a_restricted_text(spark):
+    texts = {
+        "Creative Commons Attribution NonCommercial 4.0 International License": "cc-by-nc",
+        "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "Creative Commons Attribution Something 4.0 International License": "",
+        "creative commons attribution " * 3: "",
+        "Licensed under CC BY-NC 4.0 and so on": "cc-by-nc",
+        "The software is provided as is without warranty of any kind express or implied": "",
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl",
+        "permission is hereby " * 5 + "granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
+        **{t: label for t, label in L.WHOLE},
+        **{"Copyright 2020 somebody. " + t.lower().replace("software", "work", 1): label for t, label in L.WHOLE},
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x for x in L.scan(rows).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+
+
+def test_spans_against_brute_force(spark):
+    r = random.Random(4)
+    every = [t for t, _ in (*L.PHRASES, *L.TEMPLATES, *L.WHOLE)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = r.choice(every).split()
+            for _ in range(r.choice((0, 0, 1, 3, 8))):
+                k = r.randrange(len(w))
+                w[k : k + r.randint(0, 1)] = r.choice(([], ["word"], [w[k]] * 2, w[:3]))
+                w = w or ["x"]
+            cut = r.choice((0, 0, len(w) // 3))
+            parts.append(" ".join(w[cut:] + r.choices(("a", "the", "mit"), k=r.randint(0, 2))))
+        texts.append(" ".join(parts))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in L.scan(rows).collect()}
+    for i, t in enumerate(texts):
+        found = L.brute_spans(t)
+        assert (got[i].labels, round(got[i].score, 9)) == (",".join(sorted({f[0] for f in found})), round(max((f[3] for f in found), default=0.0), 9)), t
+
+
 # packing
 
 
