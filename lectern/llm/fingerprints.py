@@ -1,18 +1,17 @@
 """Document fingerprints by bin-wise consistent weighted sampling, in DataFrame functions only.
 
-A term is five words in a row, its weight the number of times it occurs. Every term is dealt into one of BINS bins by
-its hash. In a bin, improved consistent weighted sampling draws for each term from its own hash r and c from
-Gamma(2, 1) and b from the unit interval:
+A term is five words in a row, its weight the number of times it occurs. A weight is dealt out in units: the k-th unit
+of a term has a hash of its own, the same in every text that has the term k times or more. The least and the greatest
+of two weights are the numbers of units that both texts and either of them have, so generalised Jaccard similarity is
+that of the units. By its hash every unit falls into one of BINS bins, and in a bin gamma-based consistent weighted
+sampling draws for each unit r and c from Gamma(2, 1) and b from the unit interval:
 
     t = floor(ln(weight) / r + b),  ln y = r * (t - b),  ln a = ln(c) - ln y - r
 
-and keeps the term of least a, with its t. Two texts' samples of a bin are equal with the probability of the
-generalised Jaccard similarity of the bin's weights; the share of equal samples among bins that either text fills
-estimates that of the whole. Dealing terms into bins makes the cost one draw a term, whatever the number of samples.
-
-Bins must weigh about the same for that, so a term of more weight than SHARE is dealt as several: the first SHARE, the
-next, and so on. The least and the greatest of two weights are the sums of those of their shares, so generalised Jaccard
-similarity stays what it was.
+and keeps the unit of least a. A unit's weight is 1, so t is 0. Units weigh alike, hence a bin's two samples are equal
+with the probability that a unit of either text, drawn evenly, is in both; and the share of equal samples among the
+bins that either text fills is generalised Jaccard similarity in the mean, whatever the bins weigh. That does not hold
+where whole weights are drawn, for then a bin with a heavy term counts as much as one with a light term.
 
 All work on a text stays in its row: term hashes are sorted, runs counted, draws packed into longs as (bin, ln a, mark)
 and sorted again, so the first of each bin is its sample.
@@ -26,62 +25,57 @@ from pyspark.sql import functions as F
 from lectern.llm.common import SHINGLE_WORDS, split_words, table
 
 BINS = 128
-#: The most weight of a term in one bin; what is over goes into further bins.
-SHARE = 2
-#: Cuts of the order of ids, at most; each piece between two is put in order by itself.
-CUTS = 2048
-
-def _unit(h: Column, salt: int) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(h, F.lit(salt)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-
-
-def _draw(h: Column, weight: Column) -> Column:
-    """(bin, ln a, mark) of a term in one long: 7 bits, 32 bits, 24 bits."""
-    r = -F.log(_unit(h, 1) * _unit(h, 2))
-    c = -F.log(_unit(h, 3) * _unit(h, 4))
-    b = _unit(h, 5)
-    t = F.floor(F.when(weight == 1, b).otherwise(F.log(weight.cast("double")) / r + b))
-    ln_a = F.log(c) - r * (t.cast("double") - b) - r
-    # ln a lies within about -60..+10 for any weight up to 2**31; finer than a double's noise is not needed
-    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ln_a + 80.0) / 100.0)) * F.lit(2.0**32 - 1)
-    mark = F.when(t == 0, h).otherwise(F.xxhash64(h, t)).bitwiseAND(F.lit((1 << 24) - 1))
-    own = F.shiftrightunsigned(h, 57)
-    return F.shiftleft(own, 56).bitwiseOR(F.shiftleft(level.cast("long"), 24)).bitwiseOR(mark)
+#: Rows between two cuts of the order of ids, and the most cuts; each piece between two is put in order by itself.
+PIECE_ROWS, CUTS = 1000, 1 << 16
+
+
+def _halves(h: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from a hash."""
+    low = h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
+    return (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * F.lit(2.0**-32), (low + 0.5) * F.lit(2.0**-32)
+
+
+def _draw(h: Column) -> Column:
+    """(bin, ln a, mark) of a unit in one long: 7 bits, 33 bits, 24 bits of its hash."""
+    one, two = _halves(F.xxhash64(h))
+    three, four = _halves(F.xxhash64(h, F.lit(1)))
+    r, c = -F.log(one * two), -F.log(three * four)
+    b = (F.shiftrightunsigned(h, 24).bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * F.lit(2.0**-32)
+    ln_a = F.log(c) - r * (1 - b)  # from about -45 to 4
+    level = ((ln_a + 100.0) * F.lit(2.0**25)).cast("long")
+    head = F.shiftrightunsigned(h, 57)
+    return F.shiftleft(head, 57).bitwiseOR(F.shiftleft(level, 24)).bitwiseOR(h.bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 def samples(text: str, df: DataFrame, out: str, n: int = SHINGLE_WORDS) -> DataFrame:
     """df with `out`: the text's samples, an array of at most BINS longs whose upper 7 bits are the bin. Empty for no
     words; a text of fewer than n words has one term, all of them."""
-    w, h, first = f"_{out}_w", f"_{out}_h", f"_{out}_f"
+    w, h = f"_{out}_w", f"_{out}_h"
     df = split_words(df, text, w)
     ws, size = F.col(w), F.size(F.col(w))
     each = F.transform(
         F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(*[F.get(ws, i + (k - 1)) for k in range(n)])
     )
-    df = df.withColumn(h, F.when(size >= n, F.sort_array(each)).when(size > 0, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn(h, F.when(size >= n, F.sort_array(each)).when(size > 0, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(none))
     hs = F.col(h)
+    # only texts that repeat themselves have terms of several units: their hashes are told apart by their place in the run
+    again = F.exists(F.sequence(F.lit(1), F.greatest(F.size(hs) - 1, F.lit(1))), lambda i: F.coalesce(F.get(hs, i) == F.get(hs, i - 1), F.lit(False)))
     starts = F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: (i == 0) | (F.get(hs, i) != F.get(hs, i - 1)))
-    df = df.withColumn(first, F.when(F.size(hs) > 0, starts).otherwise(F.array().cast("array<int>")))
-    at = F.col(first)
-    weight = lambda p, j: F.coalesce(F.get(at, j + 1), F.size(hs)) - p
-    drawn = F.transform(at, lambda p, j: _draw(F.get(hs, p), F.least(weight(p, j), F.lit(SHARE))))
-    none = F.array().cast("array<bigint>")
+    runs = F.struct(starts.alias("at"))
 
-    def others(p: Column, j: Column) -> Column:
-        w = weight(p, j)
-        parts = F.sequence(F.lit(1), F.ceil(w / F.lit(SHARE)).cast("int") - 1)
-        each = lambda k: _draw(F.xxhash64(F.get(hs, p), k), F.least(w - SHARE * k, F.lit(SHARE)))
-        return F.when(w > SHARE, F.transform(parts, each)).otherwise(none)
+    def units(p: Column, j: Column, at: Column) -> Column:
+        last = F.coalesce(F.get(at, j + 1), F.size(hs)) - 1
+        return F.transform(F.sequence(p, last), lambda i: F.when(i == p, F.get(hs, p)).otherwise(F.xxhash64(F.get(hs, p), i - p)))
 
-    # only texts that repeat themselves have any
-    heavy = F.exists(at, lambda p: F.coalesce(F.get(hs, p + SHARE) == F.get(hs, p), F.lit(False)))
-    drawn = F.when(heavy, F.concat(drawn, F.flatten(F.transform(at, others)))).otherwise(drawn)
-    df = df.withColumn(out, F.sort_array(drawn))
+    df = df.withColumn(f"_{out}_r", F.when(again, runs)).withColumn(
+        h, F.when(again, F.flatten(F.transform(F.col(f"_{out}_r.at"), lambda p, j: units(p, j, F.col(f"_{out}_r.at"))))).otherwise(hs)
+    )
+    df = df.withColumn(out, F.sort_array(F.transform(F.col(h), _draw)))
     got = F.col(out)
-    bin_of = lambda x: F.shiftright(x, 56)
+    bin_of = lambda x: F.shiftright(x, 57)
     df = df.withColumn(out, F.filter(got, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(got, i - 1)))))
-    return df.drop(w, h, first)
+    return df.drop(w, h, f"_{out}_r")
 
 
 def fingerprint(samples: Column) -> Column:
@@ -89,7 +83,7 @@ def fingerprint(samples: Column) -> Column:
     own = F.transform(
         samples,
         lambda x: F.lpad(
-            F.lower(F.hex(F.shiftleft(F.shiftrightunsigned(x, 56), 24).bitwiseOR(x.bitwiseAND(F.lit((1 << 24) - 1))))), 8, "0"
+            F.lower(F.hex(F.shiftleft(F.shiftrightunsigned(x, 57), 24).bitwiseOR(x.bitwiseAND(F.lit((1 << 24) - 1))))), 8, "0"
         ),
     )
     return F.array_join(own, "")
@@ -98,18 +92,18 @@ def fingerprint(samples: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal samples among bins that a or b fills; 1 for two empty fingerprints."""
     marks = lambda s: F.transform(
-        s, lambda x: F.shiftleft(F.shiftrightunsigned(x, 56), 24).bitwiseOR(x.bitwiseAND(F.lit((1 << 24) - 1)))
+        s, lambda x: F.shiftleft(F.shiftrightunsigned(x, 57), 24).bitwiseOR(x.bitwiseAND(F.lit((1 << 24) - 1)))
     )
-    bins = lambda s: F.transform(s, lambda x: F.shiftrightunsigned(x, 56))
+    bins = lambda s: F.transform(s, lambda x: F.shiftrightunsigned(x, 57))
     equal = F.size(F.array_intersect(marks(a), marks(b)))
     filled = F.size(F.array_union(bins(a), bins(b)))
     return F.when(filled == 0, 1.0).otherwise(equal / F.greatest(filled, F.lit(1))).cast("double")
 
 
 def _pieces(ids: DataFrame) -> list[int]:
-    """At most CUTS ids that part all ids evenly, ascending; the greatest id is the last."""
-    marks = [k / CUTS for k in range(1, CUTS + 1)]
-    found = ids.agg(F.percentile_approx("doc_id", marks, 4 * CUTS).alias("p"), F.max("doc_id").alias("top")).first()
+    """Ids that part all ids evenly, ascending, one for PIECE_ROWS rows but CUTS at most; the greatest id is the last."""
+    n = min(CUTS, max(1, -(-ids.count() // PIECE_ROWS), ids.sparkSession.sparkContext.defaultParallelism))
+    found = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n + 1)], 4 * n).alias("p"), F.max("doc_id").alias("top")).first()
     return sorted({*(found["p"] or []), *([found["top"]] if found["top"] is not None else [])})
 
 

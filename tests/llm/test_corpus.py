@@ -39,9 +39,9 @@ def _fingerprints(spark, rows, parts=3):
     return P.fingerprints(df).collect()
 
 
-@pytest.mark.parametrize("cuts", [4, 2048])
-def test_edits_follow_the_order_of_ids(spark, monkeypatch, cuts):
-    monkeypatch.setattr(P, "CUTS", cuts)
+@pytest.mark.parametrize("rows_a_piece", [1, 20, P.PIECE_ROWS])
+def test_edits_follow_the_order_of_ids(spark, monkeypatch, rows_a_piece):
+    monkeypatch.setattr(P, "PIECE_ROWS", rows_a_piece)
     r = random.Random(2)
     rows = [(i * i * 37 - 500, _prose(r, r.choice((0, 1, 3, 30, 80)))) for i in range(60)] + [(10**15, "é日本 x" * 3)]
     got = {x.doc_id: x for x in _fingerprints(spark, rows)}
@@ -72,10 +72,25 @@ def test_weights_count(spark):
     """A repeated passage weighs more: the share of equal samples follows the weights, not the sets."""
     a = "a b c d e f g h i j " * 20 + "x1 x2 x3 x4 x5 x6"
     b = "a b c d e f g h i j " * 5 + "x1 x2 x3 x4 x5 x6"
-    many = [(i * 2, a.replace("x", f"x{i}")) for i in range(40)] + [(i * 2 - 1, b.replace("x", f"x{i}")) for i in range(40)]
+    own = lambda t, i: " ".join(f"{w}of{i}" for w in t.split())
+    many = [(i * 2, own(a, i)) for i in range(120)] + [(i * 2 - 1, own(b, i)) for i in range(120)]
     got = {x.doc_id: x.near_next for x in _fingerprints(spark, many)}
     want = _likeness(a, b)
-    assert abs(np.mean([got[i * 2] for i in range(40)]) - want) < 0.15 and want < 0.4
+    assert abs(np.mean([got[i * 2] for i in range(120)]) - want) < 0.02 and want < 0.4
+
+
+@pytest.mark.parametrize(("n", "part", "times"), [(8, 2, 5), (15, 2, 20), (30, 2, 5), (300, 10, 3), (300, 10, 10), (1500, 2, 5)])
+def test_repeats_do_not_bias_the_likeness(spark, n, part, times):
+    """Texts whose first part is repeated, against the same without the repeats: the mean error over many texts is small."""
+    r = random.Random(n + times)
+    rows, want = [], {}
+    for k in range(60 if n > 1000 else 250):
+        w = [f"w{r.random()}" for _ in range(n)]
+        a, b = " ".join(w[: n // part] * times + w), " ".join(w[: n * 3 // 4])
+        rows += [(2 * k + 2, a), (2 * k + 1, b)]
+        want[2 * k + 2] = _likeness(a, b)
+    got = {x.doc_id: x.near_next for x in _fingerprints(spark, rows)}
+    assert abs(np.mean([got[k] - want[k] for k in want])) < 0.02
 
 
 def test_fingerprints_of_odd_rows(spark):
