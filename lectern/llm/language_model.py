@@ -89,11 +89,20 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _tanh(x: np.ndarray) -> np.ndarray:
-    return 2 / (1 + np.exp(-2 * x)) - 1
+    """In place."""
+    x *= 2
+    _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -162,75 +171,96 @@ class Network:
             at += a.size
         return self
 
-    def read(self, h: np.ndarray, seen: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, h: np.ndarray, seen: np.ndarray, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each word of a window (steps, lanes), and the last; a text's end starts a new state."""
-        n = self.units
+        n, size = self.units, seen.shape
         gates = self.x[seen]
         keep = (seen != self.end).astype(np.float32)[:, :, None]
-        states = np.empty((*seen.shape, n), dtype=np.float32)
+        states = np.empty((*size, n), dtype=np.float32)
+        if kept is not None:
+            kept |= {"keep": keep, "zr": np.empty((*size, 2 * n), np.float32), "g": np.empty((*size, n), np.float32)}
+            kept |= {"before": np.empty((*size, n), np.float32), "new": np.empty((*size, n), np.float32)}
         for t in range(len(seen)):
             before = h * keep[t]
             g = before @ self.u
-            zr = _sigmoid(gates[t, :, : 2 * n] + g[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = _tanh(gates[t, :, 2 * n :] + r * g[:, 2 * n :])
-            h = new + z * (before - new)
+            g[:, : 2 * n] += gates[t, :, : 2 * n]
+            zr = _sigmoid(g[:, : 2 * n])
+            new = zr[:, n:] * g[:, 2 * n :]
+            new += gates[t, :, 2 * n :]
+            _tanh(new)
+            h = before - new
+            h *= zr[:, :n]
+            h += new
             states[t] = h
             if kept is not None:
-                kept.append((before, z, r, new, g[:, 2 * n :]))
+                kept["before"][t], kept["zr"][t], kept["new"][t], kept["g"][t] = before, zr, new, g[:, 2 * n :]
         return states, h
 
-    def groups(self, target: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def groups(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of targets by class, and for each class of over one word: its words a..b, its targets i..j there."""
         own = self.owner[target]
         order = np.argsort(own, kind="stable")
-        edges = np.flatnonzero(np.diff(own[order])) + 1
-        for rows in np.split(order, edges) if len(order) else ():
-            k = own[rows[0]]
-            yield k, self.vocab.bounds[k], self.vocab.bounds[k + 1], rows
+        own = own[order]
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
+        bounds = self.vocab.bounds.tolist()
+        at = [(bounds[own[i]], bounds[own[i] + 1], i, j) for i, j in zip(edges, edges[1:])]
+        return order, [x for x in at if x[1] - x[0] > 1]
 
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probabilities of words after these states."""
-        out = _log_share(states @ self.wc + self.bc, self.owner[target]).astype(np.float64)
-        for _, a, b, rows in self.groups(target):
-            if b - a > 1:
-                out[rows] += _log_share(states[rows] @ self.ww[a:b].T + self.bw[a:b], target[rows] - a)
+        order, groups = self.groups(target)
+        s, want = states[order], target[order]
+        found = _log_share(s @ self.wc + self.bc, self.owner[want]).astype(np.float64)
+        for a, b, i, j in groups:
+            found[i:j] += _log_share(s[i:j] @ self.ww[a:b].T + self.bw[a:b], want[i:j] - a)
+        out = np.empty(len(order))
+        out[order] = found
         return out
 
     def step(self, h: np.ndarray, seen: np.ndarray, target: np.ndarray, old: dict[str, np.ndarray], rate: float = RATE) -> np.ndarray:
         """One window of truncated backpropagation and an Adagrad step. target is -1 where a lane has ended."""
-        n, kept = self.units, []
+        n, kept = self.units, {}
         states, last = self.read(h, seen, kept)
         where = np.flatnonzero(target.ravel() >= 0)
+        order, groups = self.groups(target.ravel()[where])
+        where = where[order]
         want, s = target.ravel()[where], states.reshape(-1, n)[where]
         grad = {}
         d = _softmax(s @ self.wc + self.bc)
         d[np.arange(len(want)), self.owner[want]] -= 1
-        grad["wc"], grad["bc"] = s.T @ d, d.sum(0)
+        grad["wc"], grad["bc"] = s.T @ d, np.ones(len(d), dtype=d.dtype) @ d
         ds = d @ self.wc.T
         grad["ww"], grad["bw"] = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        for _, a, b, rows in self.groups(want):
-            if b - a > 1:
-                e = _softmax(s[rows] @ self.ww[a:b].T + self.bw[a:b])
-                e[np.arange(len(rows)), want[rows] - a] -= 1
-                grad["ww"][a:b] = e.T @ s[rows]
-                grad["bw"][a:b] = e.sum(0)
-                ds[rows] += e @ self.ww[a:b]
+        for a, b, i, j in groups:
+            e = _softmax(s[i:j] @ self.ww[a:b].T + self.bw[a:b])
+            e[np.arange(j - i), want[i:j] - a] -= 1
+            grad["ww"][a:b] = e.T @ s[i:j]
+            grad["bw"][a:b] = e.sum(0)
+            ds[i:j] += e @ self.ww[a:b]
         out = np.zeros((seen.size, n), dtype=np.float32)
         out[where] = ds
         out = out.reshape(*seen.shape, n)
+        # what a change of the state does to each gate, for all words at once
+        zr, new, before = kept["zr"], kept["new"], kept["before"]
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        to_n = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = kept["g"] * r * (1 - r)
         gates = np.empty((*seen.shape, 3 * n), dtype=np.float32)
-        grad["u"], dh = np.zeros_like(self.u), np.zeros_like(h)
-        keep = (seen != self.end).astype(np.float32)[:, :, None]
+        inner = np.empty((*seen.shape, 3 * n), dtype=np.float32)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(self.u.T)
         for t in reversed(range(len(seen))):
-            before, z, r, new, g = kept[t]
-            dh = dh + out[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * g * r * (1 - r)
-            gates[t] = np.concatenate((dz, dr, dn), axis=1)
-            dg = np.concatenate((dz, dr, dn * r), axis=1)
-            grad["u"] += before.T @ dg
-            dh = (dh * z + dg @ self.u.T) * keep[t]
+            dh += out[t]
+            dn = dh * to_n[t]
+            np.multiply(dh, to_z[t], out=inner[t, :, :n])
+            np.multiply(dn, to_r[t], out=inner[t, :, n : 2 * n])
+            np.multiply(dn, r[t], out=inner[t, :, 2 * n :])
+            gates[t, :, 2 * n :] = dn
+            dh *= z[t]
+            dh += inner[t] @ back
+            dh *= kept["keep"][t]
+        gates[:, :, : 2 * n] = inner[:, :, : 2 * n]
+        grad["u"] = before.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
         flat, ids = gates.reshape(-1, 3 * n), seen.ravel()
         order = np.argsort(ids, kind="stable")
         at = np.concatenate(([0], np.flatnonzero(np.diff(ids[order])) + 1))
@@ -240,28 +270,58 @@ class Network:
         self.x[rows] -= rate * gx / np.sqrt(old["x"][rows])
         for name, g in grad.items():
             old[name] += g * g
-            setattr(self, name, getattr(self, name) - rate * g / np.sqrt(old[name]))
+            g *= rate
+            g /= np.sqrt(old[name])
+            setattr(self, name, getattr(self, name) - g)
         return last
 
 
-def lanes(docs: list[np.ndarray], end: int, most: int = LANES) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Documents put one after another into lanes of about equal length: (steps, lanes) of the word before and the
-    word to tell (-1 after the lane's last), and each document's lane and first step."""
-    total = sum(map(len, docs))
-    width = max(1, min(most, len(docs), total // (2 * STEPS) + 1))
-    heap = [(0, k) for k in range(width)]
-    place: list[tuple[int, int]] = [(0, 0)] * len(docs)
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        at, k = heapq.heappop(heap)
-        place[i] = (k, at)
-        heapq.heappush(heap, (at + len(docs[i]), k))
-    steps = max(h[0] for h in heap)
-    target = np.full((steps, width), -1, dtype=np.int32)
-    for d, (k, at) in zip(docs, place, strict=True):
-        target[at : at + len(d), k] = d
-    seen = np.full((steps, width), end, dtype=np.int32)
-    seen[1:] = np.where(target[:-1] >= 0, target[:-1], end)
-    return seen, target, place
+@dataclass
+class Lanes:
+    """Documents put one after another into lanes of about equal length. The words of lane k are `target[at[k] : at[k] +
+    size[k]]` and `seen` has the word before each; nothing is padded, so a long text takes no more than its words."""
+
+    seen: np.ndarray
+    target: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    place: list[int]  # of each document: its first word in target
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray], end: int, most: int = LANES) -> "Lanes":
+        total = sum(map(len, docs))
+        width = max(1, min(most, len(docs), total // (2 * STEPS) + 1))
+        heap = [(0, k) for k in range(width)]
+        own: list[list[int]] = [[] for _ in range(width)]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, k = heapq.heappop(heap)
+            own[k].append(i)
+            heapq.heappush(heap, (n + len(docs[i]), k))
+        size = np.zeros(width, dtype=np.int64)
+        for n, k in heap:
+            size[k] = n
+        at = np.cumsum(size) - size
+        place = [0] * len(docs)
+        for k, line in enumerate(own):
+            n = int(at[k])
+            for i in line:
+                place[i] = n
+                n += len(docs[i])
+        target = np.concatenate([docs[i] for line in own for i in line]) if docs else np.zeros(0, dtype=np.int32)
+        seen = np.empty_like(target)
+        seen[1:] = target[:-1]
+        seen[at[size > 0]] = end
+        return cls(seen, target, at, size, place)
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every `steps` words of the lanes that have not ended: their numbers, where their words are in target
+        (steps, lanes), and which of these places are in the lane; others have some word of it."""
+        for begin in range(0, int(self.size.max(initial=0)), steps):
+            live = np.flatnonzero(self.size > begin)
+            left = self.size[live] - begin
+            step = np.arange(min(steps, int(left.max())))[:, None]
+            inside = step < left
+            yield live, self.at[live] + begin + np.where(inside, step, 0), inside
 
 
 def train(net: Network, docs: Iterator[list[np.ndarray]]) -> int:
@@ -269,38 +329,34 @@ def train(net: Network, docs: Iterator[list[np.ndarray]]) -> int:
     old = {n: np.full_like(getattr(net, n), 1.0) for n in net.NAMES}
     n = 0
     for some in docs:
-        seen, target, _ = lanes(some, net.end)
-        h = np.zeros((seen.shape[1], net.units), dtype=np.float32)
-        for at in range(0, len(seen), STEPS):
-            live = np.flatnonzero((target[at : at + STEPS] >= 0).any(axis=0))  # a lane that has ended does not start again
-            h[live] = net.step(h[live], seen[at : at + STEPS, live], target[at : at + STEPS, live], old)
+        lanes = Lanes.of(some, net.end)
+        h = np.zeros((len(lanes.size), net.units), dtype=np.float32)
+        for live, at, inside in lanes.windows(STEPS):
+            h[live] = net.step(h[live], np.where(inside, lanes.seen[at], net.end), np.where(inside, lanes.target[at], -1), old)
         n += sum(map(len, some))
     return n
 
 
-def log_likelihoods(net: Network, docs: list[np.ndarray], window: int = 128) -> np.ndarray:
+def log_likelihoods(net: Network, docs: list[np.ndarray], window: int = STEPS) -> np.ndarray:
     """Natural log probability of each whole document."""
     if not docs:
         return np.zeros(0)
-    seen, target, place = lanes(docs, net.end)
-    lp = np.zeros(target.shape)
-    h = np.zeros((seen.shape[1], net.units), dtype=np.float32)
-    for at in range(0, len(seen), window):
-        live = np.flatnonzero((target[at : at + window] >= 0).any(axis=0))  # a lane that has ended does not start again
-        states, h_live = net.read(h[live], seen[at : at + window, live])
-        h[live] = h_live
-        want = target[at : at + window, live]
-        where = np.flatnonzero(want.ravel() >= 0)
-        own = np.zeros(want.size)
-        own[where] = net.log_p(states.reshape(-1, net.units)[where], want.ravel()[where])
-        lp[at : at + window, live] = own.reshape(want.shape)
-    return np.array([lp[at : at + len(d), k].sum() for d, (k, at) in zip(docs, place, strict=True)])
+    lanes = Lanes.of(docs, net.end)
+    lp = np.empty(len(lanes.target))
+    h = np.zeros((len(lanes.size), net.units), dtype=np.float32)
+    for live, at, inside in lanes.windows(window):
+        states, h[live] = net.read(h[live], lanes.seen[at])
+        at = at[inside]
+        lp[at] = net.log_p(states[inside], lanes.target[at])
+    return np.array([lp[at : at + len(d)].sum() for d, at in zip(docs, lanes.place, strict=True)])
 
 
 def _trained(net: Network, docs: DataFrame) -> Network:
-    """One round: every task trains from the same weights, and blocks of weights meet to be averaged."""
+    """One round: every task trains from the same weights, and blocks of weights meet to be averaged, first those of
+    about as many tasks as there are groups of tasks, then theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     tasks = max(4, docs.rdd.getNumPartitions() // SPLITS)
+    groups = math.isqrt(tasks) if tasks > 64 else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(shared.value.vocab, shared.value.units).load(shared.value.flat())
@@ -311,7 +367,8 @@ def _trained(net: Network, docs: DataFrame) -> Network:
             for batch in batches:
                 for part in pieces(batch):
                     for text in part.column("text").to_pylist():
-                        held.append(np.array([get(w, UNKNOWN) for w in tokens(text)], dtype=np.int32))
+                        ws = tokens(text)
+                        held.append(np.fromiter(map(get, ws, repeat(UNKNOWN)), np.int32, len(ws)))
                         n += len(held[-1])
                         if n > HELD:
                             yield held
@@ -324,25 +381,34 @@ def _trained(net: Network, docs: DataFrame) -> Network:
             flat = own.flat()
             blocks = range(0, len(flat), BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b // BLOCK for b in blocks], pa.int32()), pa.array([float(n)] * len(blocks)), pa.array([flat[b : b + BLOCK] for b in blocks], pa.list_(pa.float32()))],
-                ["block", "n", "weights"],
+                [pa.array([b // BLOCK for b in blocks], pa.int32()), pa.array([partition_id() % groups] * len(blocks), pa.int32()), pa.array([float(n)] * len(blocks)), pa.array([flat[b : b + BLOCK] for b in blocks], pa.list_(pa.float32()))],
+                ["block", "part", "n", "weights"],
             )
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple, list] = {}
         for batch in batches:
-            cols = [batch.column(c) for c in ("block", "n", "weights")]
+            cols = [batch.column(c) for c in ("block", "part", "n", "weights")]
             for i in range(batch.num_rows):
-                b, n, w = cols[0][i].as_py(), cols[1][i].as_py(), cols[2][i].values.to_numpy().astype(np.float64)
-                was = total.get(b)
-                total[b] = [n, n * w] if was is None else [was[0] + n, was[1] + n * w]
+                key, n, w = (cols[0][i].as_py(), cols[1][i].as_py()), cols[2][i].as_py(), cols[3][i].values.to_numpy().astype(np.float64)
+                was = total.get(key)
+                total[key] = [n, n * w] if was is None else [was[0] + n, was[1] + n * w]
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([(w / n).astype(np.float32) for n, w in total.values()], pa.list_(pa.float32()))], ["block", "weights"]
+                [
+                    pa.array([b for b, _ in total], pa.int32()),
+                    pa.array([0] * len(total), pa.int32()),
+                    pa.array([n for n, _ in total.values()]),
+                    pa.array([(w / n).astype(np.float32) for n, w in total.values()], pa.list_(pa.float32())),
+                ],
+                ["block", "part", "n", "weights"],
             )
 
-    each = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, n double, weights array<float>")
-    found = each.repartition("block").mapInArrow(mean, "block int, weights array<float>").collect()  # one network's weights
+    kind = "block int, part int, n double, weights array<float>"
+    each = docs.select("text").coalesce(tasks).mapInArrow(run, kind)
+    if groups > 1:
+        each = each.repartition("block", "part").mapInArrow(mean, kind)
+    found = each.repartition("block").mapInArrow(mean, kind).collect()  # one network's weights
     if not found:
         return net
     flat = np.concatenate([np.array(r.weights, dtype=np.float32) for r in sorted(found, key=lambda r: r.block)])
@@ -414,7 +480,10 @@ def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, 1 << 25):
                 ids: list[np.ndarray] = []
-                cols: list[list] = [[] for _ in range(6)]
+                own: list[tuple] = []  # of each document: words, those known here, and the sums of their logarithms
+                tails: list[bytes] = []
+                times: list[int] = []
+                sizes: list[int] = []
                 for text in part.column("text").to_pylist():
                     ws = tokens(text)
                     at = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
@@ -422,25 +491,26 @@ def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
                     far = np.flatnonzero(at < 0)
                     tail = Counter([ws[i] for i in far.tolist()])
                     near = len(ws) - len(far)
-                    base = float(log_c[at].sum()) - near * bottom
                     unlearnt = (ids[-1] == UNKNOWN) & (at >= 0)
-                    own = float(log_c[at[unlearnt]].sum()) - int(unlearnt.sum()) * other
-                    key = _key(b"\n%d" % row)
-                    for col, x in zip(cols, (row, key, 0, len(ws), near, (base, own)), strict=True):
-                        col.append(x)
-                    for w, k in tail.items():
-                        for col, x in zip(cols, (row, _key(w), k, None, None, None), strict=True):
-                            col.append(x)
-                    row += 1
-                lp = iter(log_likelihoods(m.net, ids) / math.log(10))
-                scores = [None if x is None else x[1] + next(lp) for x in cols[5]]
-                at = np.cumsum([t == 0 for t in cols[2]]) - 1
-                doc = part.column("doc_id").take(pa.array(np.where(np.array(cols[2]) == 0, at, 0)))
-                doc = pa.array([d if t == 0 else None for d, t in zip(doc.to_pylist(), cols[2], strict=True)], doc.type)
-                yield pa.RecordBatch.from_arrays(
-                    [doc, *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array([None if x is None else x[0] for x in cols[5]], pa.float64()), pa.array(scores, pa.float64())],
-                    schema.names,
-                )
+                    base = float(log_c[at].sum()) - near * bottom
+                    own.append((len(ws), near, base, float(log_c[at[unlearnt]].sum()) - int(unlearnt.sum()) * other))
+                    tails += tail
+                    times += tail.values()
+                    sizes.append(len(tail))
+                rows = np.arange(row, row + len(ids))
+                row += len(ids)
+                words_, near, base, score = (np.array(c) for c in zip(*own, strict=True))
+                score = score + log_likelihoods(m.net, ids) / math.log(10)
+                keys = [_key(b"\n%d" % k) for k in rows.tolist()]
+                figures = [rows, np.array(keys), np.zeros(len(rows), dtype=np.int64), words_, near, base, score]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, figures)], schema.names)
+                if tails:
+                    n = len(tails)
+                    far_keys = np.fromiter(map(xxhash.xxh3_64_intdigest, tails), np.uint64, n).view(np.int64)
+                    figures = [np.repeat(rows, sizes), far_keys, np.array(times, dtype=np.int64)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(n, part.column("doc_id").type), *map(pa.array, figures), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2], schema.names
+                    )
 
     rows = docs.select("doc_id", "text").mapInArrow(run, schema)
     joined = rows.join(known.select("h", "c"), "h", "left")
@@ -463,8 +533,9 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out of counts and training. Null texts are an end alone;
     a null doc_id counts as the empty text, which is not held out; repeated rows are trained on and scored each by
-    itself; without training documents every count is 0. Other columns are left out. Sums of logarithms may differ in
-    the last digits with the order of rows.
+    itself; without training documents every count is 0; a text of any length is read whole, its state carried from
+    window to window, and takes memory for its words alone. Other columns are left out. Sums of logarithms may differ
+    in the last digits with the order of rows.
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     out = F.pmod(crc, F.lit(7)) == 2

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -225,7 +226,9 @@ def test_network_gradient():
             at += a.size
         return -M.log_likelihoods(other, docs).sum()
 
-    seen, target, _ = M.lanes(docs, net.end)
+    lanes = M.Lanes.of(docs, net.end)
+    (_, at, inside), = lanes.windows(M.STEPS)
+    seen, target = np.where(inside, lanes.seen[at], net.end), np.where(inside, lanes.target[at], -1)
     old = {n: np.full_like(getattr(net, n), 1e12) for n in net.NAMES}  # so large that a step is the slope
     before = net.flat()
     net.step(np.zeros((seen.shape[1], 3)), seen, target, old, rate=1e3)
@@ -256,7 +259,51 @@ def test_network_has_its_whole_size():
     vocab = M.Vocabulary.of([(b"a", 9), (M.END, 2)], 11)
     assert M.Network(vocab).u.shape == (24, 72)
     docs = [np.full(200, vocab.words[b"a"], dtype=np.int32)] * 1000
-    assert M.lanes(docs, vocab.words[M.END])[0].shape[1] == 256
+    assert len(M.Lanes.of(docs, vocab.words[M.END]).size) == 256
+
+
+def test_a_long_text_among_short_ones_takes_little_memory():
+    """200,000 words beside 400 short texts: as likely as alone, in under 100 MB for scoring and training."""
+    vocab = M.Vocabulary.of([(b"a", 9), (b"b", 5), (M.END, 2)], 20, learnt=3, classes=2)
+    net = M.Network(vocab, units=4)
+    r = np.random.RandomState(0)
+    docs = [np.append(r.randint(0, 3, n), vocab.words[M.END]).astype(np.int32) for n in (4000, *[20] * 400)]
+    alone = M.log_likelihoods(net, docs[:1])[0]
+    many = M.Lanes.of([np.concatenate([docs[0]] * 50), *docs], net.end)
+    assert many.seen.nbytes + many.target.nbytes < 2e6 and max(at.nbytes for _, at, _ in many.windows(M.STEPS)) < 1e6
+    docs.append(np.concatenate([docs[0]] * 2))
+    tracemalloc.start()
+    got = M.log_likelihoods(net, docs)
+    M.train(net, iter([docs]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and got[0] == pytest.approx(alone, rel=1e-4) and got[-1] == pytest.approx(2 * alone, rel=1e-3)
+
+
+def test_lanes_hold_every_word_once():
+    r = np.random.RandomState(1)
+    for most in (1, 3, 300):
+        docs = [np.append(r.randint(0, 9, n), 9).astype(np.int32) for n in r.randint(0, 90, 50)]
+        lanes = M.Lanes.of(docs, 9, most)
+        seen = []
+        for live, at, inside in lanes.windows(7):
+            assert (at[0] < lanes.at[live] + lanes.size[live]).all() and inside[0].all()
+            seen.append(at[inside])
+        assert sorted(np.concatenate(seen).tolist()) == list(range(sum(map(len, docs))))
+        for d, at in zip(docs, lanes.place, strict=True):
+            assert (lanes.target[at : at + len(d)] == d).all() and lanes.seen[at] == 9 and (lanes.seen[at + 1 : at + len(d)] == d[:-1]).all()
+
+
+def test_weights_are_averaged_in_two_steps(spark, monkeypatch):
+    """With many tasks the mean of groups' means by words is the mean by words."""
+    rows = spark.createDataFrame([(i, t) for i, t in _lm_rows(100) if t], "doc_id long, text string").repartition(80)
+    known = M.counts(rows)
+    total = known.agg(F.sum("c")).first()[0]
+    net = M.Network(M.Vocabulary.of(M.commonest(known), total))
+    monkeypatch.setattr(M, "SPLITS", 1)
+    two = M._trained(net, rows).flat()
+    monkeypatch.setattr(M.math, "isqrt", lambda n: 1)
+    assert M._trained(net, rows).flat() == pytest.approx(two, abs=1e-5)
 
 
 def _lm_rows(n=300):
