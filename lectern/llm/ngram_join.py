@@ -27,6 +27,8 @@ from lectern.llm.common import LEAST_SIMILARITY, SHINGLE_WORDS, cut, map_chunks,
 
 RECALL = 0.999
 BLOCK = 400
+#: Sets that a task verifies, about, and the most tasks.
+PART_ROWS, MOST_PARTS = 4000, 200_000
 #: Ids that are sent to every task at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _SEED = np.random.RandomState(7)
@@ -163,13 +165,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 
 def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """rep and n-gram set of the needed classes. needed: rep, text_id. Few ids are sent to the documents, whose texts
-    stay where they are; many are joined."""
+    """text_hash and n-gram set of the needed classes, and of other texts with their ids. needed: text_id. Few ids are
+    sent to the documents, whose texts stay where they are; many are joined."""
     ids = needed.select(F.col("text_id").alias("own"))
     ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids.hint("merge")
     kept = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-    sets = _texts(kept, n, None).where("text_hash IS NOT NULL").select(F.xxhash64("text_hash").alias("rep"), "hashes")
-    return sets.groupBy("rep").agg(F.first("hashes").alias("shingles"))
+    sets = _texts(kept, n, None).where("text_hash IS NOT NULL").select("text_hash", "hashes")
+    return sets.groupBy("text_hash").agg(F.first("hashes").alias("shingles"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,13 +217,14 @@ def _linked(docs: DataFrame, carry: tuple[str, ...], n: int, least: float, recal
     every = cut(_texts(docs, n, rows_bands, carry), "texts")
     worded = every.where("text_hash IS NOT NULL")
     classes = worded.groupBy("text_hash").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first("hashes").alias("signs"))
-    classes = cut(classes.withColumn("rep", F.xxhash64("text_hash")), "classes")
+    # a number of its own for each class, fixed once written; the text's hash has 128 bits
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     signs = classes.select("rep", F.posexplode("signs").alias("band", "bucket"))
     meet = cut(signs.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "meet")
     sized = cut(signs.join(meet, ["band", "bucket"]), "buckets")
     count = sized.groupBy("band", "bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor("rep").alias("x"), F.bit_xor(F.xxhash64("rep")).alias("y")
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")
     )
     # Of buckets with the same members the one of the lowest band stays. It is the first common band of every pair in
     # it for which any of them is, so no pair is lost.
@@ -232,8 +235,9 @@ def _linked(docs: DataFrame, carry: tuple[str, ...], n: int, least: float, recal
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "band", "bucket", "salt", F.least("salt", "with").alias("i"), F.greatest("salt", "with").alias("j"))
     dealt = cut(dealt, "dealt")
-    needed = cut(classes.select("rep", "text_id", "signs").join(dealt.select("rep").distinct(), "rep", "left_semi"), "needed")
-    sets = _sets(docs, needed.select("rep", "text_id"), n).join(needed.select("rep", "signs"), "rep")
+    needed = cut(classes.select("rep", "text_hash", "text_id", "signs").join(dealt.select("rep").distinct(), "rep", "left_semi"), "needed")
+    sets = _sets(docs, needed.select("text_id"), n).join(needed.select("text_hash", "rep", "signs"), "text_hash").drop("text_hash")
+    parts = min(MOST_PARTS, max(parts, dealt.count() // PART_ROWS))
     keys = ["band", "bucket", "i", "j"]
     groups = dealt.join(sets, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
 

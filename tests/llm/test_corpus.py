@@ -163,6 +163,7 @@ def test_links_where_many_ids_are_joined(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, N.links(df).collect()))
     monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(N, "PART_ROWS", 3)
     assert sorted(map(tuple, N.links(df).collect())) == want
     kept = {x.doc_id for x in N.first_of_each(df).collect()}
     assert kept == {w[2] for w in want}
