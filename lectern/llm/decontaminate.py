@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, map_chunks, table, without, words
+from lectern.llm.common import cut, fresh, map_chunks, table, without, words
 
 WINDOW = 10
 #: A benchmark of more words than this is dealt into blocks, each with an automaton of its own.
 BLOCK_WORDS = 400_000
+#: Rows with hits that are sent to every task at most, after blocks; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -197,8 +200,9 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words
     count once; repeated documents are judged each by itself; with no items nothing is hit.
 
     The benchmark is the query set. Its size is measured first; one of over block_words words is dealt by a hash of
-    item_id into blocks, and the documents pass one block after another with a written table in between, so a
-    worker never holds more than one block's automaton. Documents are never shuffled.
+    item_id into blocks, and the documents are read once for each, so a worker never holds more than one block's
+    automaton; what is written for a block is the rows that it hits, without their texts. These are joined with the
+    documents at the end. With one block documents are not shuffled.
     """
     docs = without(docs, ["n_words", "hits", "items"])
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_ADDED).fields])
@@ -206,47 +210,68 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words
 
 
 def _passes(docs: DataFrame, items: DataFrame, window: int, block_words: int, schema: T.StructType, last) -> DataFrame:
-    """The documents past all blocks of the benchmark; `last` makes the rows of the last pass."""
+    """The documents past all blocks of the benchmark; `last` makes the rows of the result."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    between = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_ADDED).fields])
-    out = docs
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
+
+    def shared(own: DataFrame):
         automaton = Automaton([(str(r.item_id), words(r.text)) for r in own.toLocalIterator()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        if block + 1 < blocks:
-            out = cut(map_chunks(out, _pass(shared, block > 0, _found(docs.columns)), between), "decontaminate")
-        else:
-            out = map_chunks(out, _pass(shared, block > 0, last), schema)
-    return out
+        return docs.sparkSession.sparkContext.broadcast(automaton)
+
+    if blocks == 1:
+        return map_chunks(docs, _scanned(shared(items), last), schema)
+    row, hits, ids = fresh(docs, "_row"), fresh(docs, "_hits"), fresh(docs, "_items")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(row).alias("row"), "text")
+    kind = "row long, hits array<struct<first:long,last:long>>, items array<string>"
+    parts = []
+    for block in range(blocks):
+        own = shared(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block))
+        parts.append(cut(map_chunks(texts, _scanned(own, _hit_rows), kind), "hits"))
+    every = reduce(DataFrame.unionByName, parts)
+    merge = lambda c: F.flatten(F.collect_list(c))
+    every = cut(every.groupBy("row").agg(merge("hits").alias(hits), F.array_sort(merge("items")).alias(ids)).withColumnRenamed("row", row), "hits")
+    few = every.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(every) if few else every, row, "left")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [len(words(t)) for t in batch.column("text").to_pylist()]
+        spans = []
+        for n, found in zip(sizes, batch.column(hits).to_pylist(), strict=True):
+            hit = np.zeros(n if found else 0, dtype=bool)
+            for x in found or ():
+                hit[x["first"] : x["last"]] = True
+            spans.append(_spans(hit))
+        return last(batch, sizes, spans, [x or [] for x in batch.column(ids).to_pylist()])
 
+    return map_chunks(joined, run, schema)
 
-def _pass(shared, more: bool, make):
-    """A function of batches: finds hits and items, with those of earlier blocks, and hands them on."""
+
+def _scanned(shared, make):
+    """A function of batches: finds hits and items and hands them on."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs = [words(t) for t in batch.column("text").to_pylist()]
         hits, items = shared.value.scan(docs)
-        before = batch.column("hits").to_pylist() if more else repeat(None)
-        known = batch.column("items").to_pylist() if more else repeat(())
-        spans, ids = [], []
-        for hit, got, old, had in zip(hits, items, before, known):
-            for x in old or ():
-                hit[x["first"] : x["last"]] = True
-            spans.append(_spans(hit) if hit.any() else [])
-            ids.append(sorted(got | set(had)))
-        return make(batch, [len(d) for d in docs], spans, ids)
+        return make(batch, [len(d) for d in docs], [_spans(h) if h.any() else [] for h in hits], [sorted(i) for i in items])
 
     return run
 
 
+def _named(spans: list) -> pa.Array:
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    return pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind)
+
+
+def _hit_rows(batch: pa.RecordBatch, sizes: list[int], spans: list, ids: list) -> pa.RecordBatch:
+    found = [batch.column("row"), _named(spans), pa.array(ids, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(found, ["row", "hits", "items"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+
 def _found(kept: list[str]):
     def make(batch: pa.RecordBatch, sizes: list[int], spans: list, ids: list) -> pa.RecordBatch:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        named = [[{"first": a, "last": b} for a, b in s] for s in spans]
-        added = [pa.array(sizes, pa.int64()), pa.array(named, kind), pa.array(ids, pa.list_(pa.string()))]
+        added = [pa.array(sizes, pa.int64()), _named(spans), pa.array(ids, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], [*kept, "n_words", "hits", "items"])
 
     return make
@@ -274,7 +299,9 @@ def remove(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """docs without benchmark spans: a document of which `coverage` or more of its words is hit goes; from the others
-    each hit span of `least` words or more is cut out of text, and n_chars (if there) follows. Others stay as they are.
+    each hit span of `least` words or more is cut out of text, and n_chars (if there) follows. Others stay as they are:
+    null and empty texts, and all where there are no items. Repeated rows are judged each by itself and stay repeated;
+    a text of any length is read whole; an empty table gives none; columns of any other name stay as they are.
     """
     names = docs.columns
 
@@ -291,10 +318,6 @@ def remove(
             out["n_chars"] = pa.array(n, out["n_chars"].type)
         return pa.RecordBatch.from_arrays(list(out.values()), list(out)).filter(pa.array(stay, pa.bool_()))
 
-    clash = [c for c in names if c.lower() in ("n_words", "hits", "items")]
-    if clash:  # their own columns would stand between blocks
-        plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-        return remove(plain, items, window=window, least=least, coverage=coverage, block_words=block_words).toDF(*names)
     return _passes(docs, items, window, block_words, docs.schema, make)
 
 

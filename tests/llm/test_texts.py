@@ -77,6 +77,22 @@ def test_spans_are_cut_out(spark):
     assert D.remove(rows.limit(0), table).count() == 0 and D.remove(rows, table.limit(0)).count() == 4
 
 
+@pytest.mark.parametrize("few", [D.BROADCAST_ROWS, 0])
+def test_blocks_change_nothing(spark, monkeypatch, few):
+    """Passages of several items in one text, repeated rows, null ids and columns named like the work's own."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", few)
+    r = random.Random(5)
+    items = [(str(k), " ".join(r.choices("abcdefgh", k=r.choice((3, 12, 20))))) for k in range(12)]
+    texts = [" ".join(r.choice(items)[1] if r.random() < 0.3 else r.choice("abcxyz") for _ in range(15)) for _ in range(40)]
+    rows = [(i if i % 7 else None, t, i, "own") for i, t in enumerate([*texts, *texts[:5], None, "", "long " * 50_000 + items[1][1]])]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, hits long, _row string").repartition(3)
+    table = spark.createDataFrame(items, "item_id string, text string")
+    one = sorted(map(str, D.remove(docs_, table).collect()))
+    assert sorted(map(str, D.remove(docs_, table, block_words=10).collect())) == one
+    found = sorted(str((x.doc_id, x.n_words, x.hits, x["items"], x._row)) for x in D.find(docs_, table, block_words=10).collect())
+    assert found == sorted(str((x.doc_id, x.n_words, x.hits, x["items"], x._row)) for x in D.find(docs_, table).collect())
+
+
 # secrets
 
 
