@@ -14,8 +14,8 @@ import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Distinct pieces that a worker keeps (about 0.4 KB each); beyond that only those of the texts at hand stay.
-KEPT = 1_200_000
+#: Distinct pieces that a worker keeps in all (about 0.25 KB each); beyond that only those of the texts at hand stay.
+KEPT = 600_000
 _WORDY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 #: Stands for a line end among ids, whose upper two bytes are zero, so it is nowhere else in their bytes.
 _MARK = b"\xff" * 4
@@ -60,7 +60,7 @@ class WordBpe:
         pieces = _WORDY.findall("\n".join(plain).lower())
         own = set(pieces)
         fresh = list(own.difference(self.parts))
-        if len(self.parts) + len(fresh) > self.most:
+        if len(self.chunks) + len(self.parts) + len(fresh) > self.most:
             self.parts = {p: self.parts[p] for p in own.intersection(self.parts)}
         self.parts.update(zip(fresh, self._library(fresh), strict=True))
         self.parts["\n"] = _MARK
@@ -74,7 +74,7 @@ class WordBpe:
         runs = [t.replace("\n", " ").split(" ") for t in texts]
         every = set().union(*runs)
         new = every.difference(self.chunks)
-        if len(self.chunks) + len(new) > self.most:
+        if len(self.chunks) + len(self.parts) + len(new) > self.most:
             self.chunks = {c: self.chunks[c] for c in every.intersection(self.chunks)}
         if new:
             self._learn(list(new))
