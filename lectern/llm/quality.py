@@ -3,8 +3,8 @@
 Text content: counts of byte trigrams, hashed to CONTENT numbers. Page metadata: source, language, length and layout
 (lines, repeated lines, shares of capitals, digits, signs and spaces). Each view has a logistic regression of its own.
 In every round each classifier labels all unlabelled documents; those it is surest of, in the labels' proportion, join
-the other view's training set. Both are then calibrated on held-out labels (Platt), their log-odds are put together and
-calibrated once more, and all documents are scored.
+the other view's training set. Both are then calibrated on labels held out for it (Platt), their log-odds are put
+together and calibrated once more, and all documents are scored.
 
 Only labelled rows are sampled, at most `labelled` by the order of a hash of the ids (see `fit`). The features, not the
 texts, of these and of the documents that join come to the driver.
@@ -130,11 +130,12 @@ class Model:
 
 
 def co_train(x: tuple, y: np.ndarray, draw: Callable[[list, float], list], rounds: int = 4) -> Model:
-    """x: (content, metadata) of labelled rows; y: 0 or 1. Every fifth labelled row is held out for calibration.
+    """x: (content, metadata) of labelled rows; y: 0 or 1. Of ten labelled rows one is held out for calibration and one,
+    which nothing is fitted to, for the accuracy in held_out.
     draw, given each view's (weights, a, b) and the share of good labels, has the rows and labels that join each view."""
     prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
-    held = np.arange(len(y)) % 5 == 4
-    fit = ~held
+    held, unseen = np.arange(len(y)) % 10 == 4, np.arange(len(y)) % 10 == 9
+    fit = ~(held | unseen)
     if min((y[fit] == 1).sum(), (y[fit] == 0).sum()) < 3 or min((y[held] == 1).sum(), (y[held] == 0).sum()) < 1:
         return Model(prior)
     taken = [np.zeros((0, x[v].shape[1]), dtype=x[v].dtype) for v in (0, 1)]
@@ -151,9 +152,10 @@ def co_train(x: tuple, y: np.ndarray, draw: Callable[[list, float], list], round
     views = (x[0][held], x[1][held])
     one, two = platt(_odds(views[0], w[0]), y[held]), platt(_odds(views[1], w[1]), y[held])
     both = one[0] * _odds(views[0], w[0]) + one[1] + two[0] * _odds(views[1], w[1]) + two[1]
-    last = platt(both, y[held])
-    hits = float((((last[0] * both + last[1]) > 0) == (y[held] > 0)).mean())
-    return Model(prior, w[0], w[1], (one, two, last), hits, sum(map(len, taken)))
+    model = Model(prior, w[0], w[1], (one, two, platt(both, y[held])), None, sum(map(len, taken)))
+    odds = model.odds((x[0][unseen], x[1][unseen]))[2]
+    model.held_out = float(((odds > 0) == (y[unseen] > 0)).mean()) if len(odds) else None
+    return model
 
 
 def _marks(batch: pa.RecordBatch) -> np.ndarray:
