@@ -60,7 +60,9 @@ class Engine:
         """path, code of every artifact under a path: null for a valid report."""
         scanned = artifacts.scan(self.spark, path)
         stored = artifacts.reports(scanned)
-        broken = validate.first_violation(stored).unionByName(validate.hash_violations(stored).select("key", "code")).groupBy("key").agg(F.min("code").alias("broken"))
+        last = validate.hash_violations(stored).select("key", F.lit(len(validate.rules())).alias("rule"), "code")
+        every = validate.violations(stored).select("key", "rule", "code").unionByName(last)
+        broken = every.groupBy("key").agg(F.min_by("code", "rule").alias("broken"))
         named = scanned.withColumn("key", F.regexp_extract("path", r"([^/]+?)\.json$", 1))
         return named.join(broken, "key", "left").select("path", F.coalesce("code", "broken").alias("code"))
 

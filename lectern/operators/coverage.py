@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.statistics import linear, nearest_rank, wilson
+from lectern.functions.statistics import quantiles, wilson
 
 TERMINAL = ("completed", "failed", "timeout", "cancelled", "skipped", "unsupported")
 RESOLUTIONS = ("useful_finding", "actionable_comparison")
@@ -110,7 +114,8 @@ def label_gaps(labels: DataFrame, corpus: DataFrame) -> DataFrame:
 def alignment_error(errors: DataFrame) -> DataFrame:
     """errors: page_key, error. The greatest of each page first, then over pages: n, p95 by rank, and the greatest."""
     pages = errors.groupBy("page_key").agg(F.max("error").alias("error")).where("error IS NOT NULL")
-    return pages.agg(F.count(F.lit(1)).alias("n"), nearest_rank("error", 0.95).alias("p95"), F.max("error").alias("worst"))
+    whole = pages.agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("worst"))
+    return whole.join(quantiles(pages, [], "error", {"p95": (0.95, "rank")}).drop("n"), F.lit(True), "left")  # one row each
 
 
 def repeatability(readings: DataFrame, key: str, digest: str) -> DataFrame:
@@ -122,9 +127,13 @@ def repeatability(readings: DataFrame, key: str, digest: str) -> DataFrame:
 def latency(rows: DataFrame, value: str, *by: str, least: int = 30) -> DataFrame:
     """n, p50, p95 (between neighbours), mean, greatest; p95 may be claimed from `least` values on."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"), linear(v, 0.5).alias("p50"), linear(v, 0.95).alias("p95"), F.max(v).alias("max"), F.avg(v).alias("mean"), (F.count(v) >= least).alias("claimable")
-    )
+    sums = rows.groupBy(*by).agg(F.count(v).alias("n"), F.max(v).alias("max"), F.avg(v).alias("mean"), (F.count(v) >= least).alias("claimable"))
+    found = quantiles(rows, list(by), value, {"p50": (0.5, "linear"), "p95": (0.95, "linear")}).drop("n")
+    if not by:
+        return sums.join(found, F.lit(True), "left")  # one row each
+    named = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return sums.join(named, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def verdicts(metrics: DataFrame, targets: DataFrame) -> DataFrame:
@@ -154,9 +163,14 @@ def adjudicate(items: DataFrame, votes: DataFrame, reviewers: int = 2) -> DataFr
 def diagnosis(sessions: DataFrame) -> DataFrame:
     """sessions: tester, condition (tool or control), seconds, understood. Per tester whether all was understood, and the
     ratio of median times; then the median over testers."""
-    own = lambda c: F.median(F.when(F.col("condition") == c, F.col("seconds")))
-    each = sessions.groupBy("tester").agg(F.bool_and("understood").alias("all_understood"), F.try_divide(own("tool"), own("control")).alias("ratio"))
-    return each.agg(F.count(F.lit(1)).alias("testers"), F.count_if("all_understood").alias("all_understood"), F.median("ratio").alias("median_ratio"))
+    median = {"seconds": (0.5, "linear")}
+    times = quantiles(sessions.select("tester", "condition", "seconds"), ["tester", "condition"], "seconds", median)
+    own = lambda c: F.max(F.when(F.col("condition") == c, F.col("seconds")))
+    ratios = times.groupBy("tester").agg(F.try_divide(own("tool"), own("control")).alias("ratio")).where("ratio IS NOT NULL")
+    each = sessions.groupBy("tester").agg(F.bool_and("understood").alias("all_understood"))
+    whole = each.agg(F.count(F.lit(1)).alias("testers"), F.count_if("all_understood").alias("all_understood"))
+    middle = quantiles(ratios, [], "ratio", {"median_ratio": (0.5, "linear")}).drop("n")
+    return whole.join(middle, F.lit(True), "left")  # one row each
 
 
 def explain_statuses(checks: DataFrame, *by: str) -> DataFrame:
@@ -217,13 +231,36 @@ def spans(rows: DataFrame, by: list[str], ordinal: str, text: str, most: int = 4
 
 
 def order_inversions(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs: by, left_ordinal, right_ordinal. Pairs of pairs whose order the right side turns, by group.
-
-    Groups are pages; for long ones an order-statistics count would replace the join."""
-    a, b = pairs.alias("a"), pairs.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]
-    turned = a.join(b, [*same, F.col("a.left_ordinal") < F.col("b.left_ordinal"), F.col("a.right_ordinal") > F.col("b.right_ordinal")])
-    return turned.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.count(F.lit(1)).alias("inversions"))
+    """pairs: by, left_ordinal, right_ordinal. Pairs of pairs whose order the right side turns, by group; groups without
+    one have no row.
+
+    Groups are pages. Rows come by group and left ordinal, and a sorted list of the right ones before tells how many are
+    larger, so a page of n pairs takes n steps and two lists of n numbers."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in by]
+    rows = pairs.where("left_ordinal IS NOT NULL AND right_ordinal IS NOT NULL").select(*[f.name for f in pairs.schema if f.name in by], "left_ordinal", "right_ordinal")
+    names = rows.columns[:-2]
+
+    def run(batches):
+        key, n, before, now, last = None, 0, [], [], None
+        out = []
+        for batch in batches:
+            for *own, left, right in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
+                if own != key:
+                    if n:
+                        out.append((*key, n))
+                    key, n, before, now, last = own, 0, [], [], None
+                if left != last:  # of one left ordinal none is before another
+                    for r in now:
+                        insort(before, r)
+                    now, last = [], left
+                n += len(before) - bisect_right(before, right)
+                now.append(right)
+        if n:
+            out.append((*key, n))
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[*names, "inversions"]), preserve_index=False)
+
+    return rows.repartition(*names).sortWithinPartitions(*names, "left_ordinal").mapInArrow(run, ", ".join([*kinds, "inversions long"]))
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -26,7 +26,8 @@ def top_by_priority(findings: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(findings: DataFrame, by: list[str]) -> DataFrame:
-    return findings.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """by, n, first_id: how many findings a group has, and the first of their ids."""
+    return findings.groupBy(*by).agg(F.count("id").alias("n"), F.min("id").alias("first_id"))
 
 
 def _texts(units: DataFrame, records: DataFrame, ids: str, key: str, out: str) -> DataFrame:

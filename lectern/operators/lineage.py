@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import random
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the folder that the session names; a local one where all runs on this machine."""
     context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint()
 
 
@@ -32,14 +35,14 @@ def shared_keys(entries: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, root: the least key of its component, for every vertex. Rounds of least labels of neighbours and of the
     label's own label; each round is checkpointed."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    now = _cut(vertices.select(F.col(key).alias("v"), F.col(key).alias("root")).distinct())
+    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
+    now = checkpoint(vertices.select(F.col(key).alias("v"), F.col(key).alias("root")).distinct())
     while True:
         heard = both.join(now, F.col("a") == F.col("v")).groupBy("b").agg(F.min("root").alias("heard"))
         step = now.join(heard, F.col("v") == F.col("b"), "left").select("v", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        step = _cut(step)
+        step = checkpoint(step)
         up = step.select(F.col("v").alias("up"), F.col("root").alias("top"))
-        after = _cut(step.join(up, F.col("root") == F.col("up"), "left").select("v", "old", F.coalesce("top", "root").alias("root")))
+        after = checkpoint(step.join(up, F.col("root") == F.col("up"), "left").select("v", "old", F.coalesce("top", "root").alias("root")))
         now = after.select("v", "root")
         if after.where("old != root").isEmpty():
             return now.withColumnRenamed("v", key)

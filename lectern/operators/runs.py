@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,17 +145,25 @@ def changes(aligned: DataFrame, left: DataFrame, right: DataFrame, checks: DataF
 def slots(transfers: DataFrame) -> DataFrame:
     """transfers (run, arrival, kind: take or release) with in_use, and refused where no slot was free.
 
-    A refused take changes nothing, so what is in use is a fold over the run's transfers in order."""
-    each = F.array_sort(F.collect_list(F.struct("arrival", "kind")))
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<arrival:bigint,kind:string,in_use:int,refused:boolean>>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        refused = (t["kind"] == "take") & (s["n"] >= SLOTS)
-        n = F.when(refused, s["n"]).when(t["kind"] == "take", s["n"] + 1).otherwise(F.greatest(s["n"] - 1, F.lit(0)))
-        row = F.struct(t["arrival"].alias("arrival"), t["kind"].alias("kind"), n.alias("in_use"), refused.alias("refused"))
-        return F.struct(n.alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return transfers.groupBy("run").agg(F.aggregate(each, zero, step, lambda s: s["out"]).alias("t")).select("run", F.explode("t").alias("t")).select("run", "t.*")
+    A refused take changes nothing, so what is in use is a fold over a run's transfers in order. They come sorted, and a
+    task keeps the number of the run at hand alone."""
+    kinds = transfers.select("run", "arrival", "kind").schema
+
+    def run(batches):
+        key, n = None, 0
+        for batch in batches:
+            in_use, refused = [], []
+            for own, kind in zip(batch.column("run").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                if own != key:
+                    key, n = own, 0
+                refused.append(kind == "take" and n >= SLOTS)
+                n = min(n + 1, SLOTS) if kind == "take" else max(n - 1, 0)
+                in_use.append(n)
+            cols = [*batch.columns, pa.array(in_use, pa.int32()), pa.array(refused, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "in_use", "refused"])
+
+    rows = transfers.select("run", "arrival", "kind").repartition("run").sortWithinPartitions("run", "arrival")
+    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], "in_use int", "refused boolean"]))
 
 
 def next_attempts(jobs: DataFrame, most: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.statistics import bootstrap, linear, nearest_rank
+from lectern.functions.statistics import bootstrap, quantiles
 from lectern.operators import coverage as C
 from lectern.plans import adapters as A
 from lectern.plans import sql as S
@@ -121,12 +121,11 @@ def check_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT concat(CAST(doc_id AS VARCHAR), ':0') AS page_key, 'label_only' AS side FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)
-    UNION ALL SELECT concat(CAST(doc_id AS VARCHAR), ':0'), 'corpus_only' FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 4 <> 0) WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+    """SELECT concat(CAST(doc_id AS VARCHAR), ':0') AS page_key, 'label_only' AS side FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT concat(CAST(doc_id AS VARCHAR), ':0'), 'corpus_only' FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def label_cover_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus of this query is the documents whose id four does not divide."""
-    corpus = A.table(spark, sf_dir, "documents").where("doc_id % 4 != 0").select(A.page_key("doc_id").alias("page_key"))
+    corpus = A.table(spark, sf_dir, "documents").select(A.page_key("doc_id").alias("page_key"))
     return C.label_gaps(A.labels(spark, sf_dir), corpus)
 
 
@@ -148,13 +147,13 @@ def alignment_error_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY event_type")
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "events").groupBy("event_type").agg(nearest_rank("value", 0.95).alias("p95"), nearest_rank("value", 0.5).alias("p50"))
+    return quantiles(A.table(spark, sf_dir, "events"), ["event_type"], "value", {"p95": (0.95, "rank"), "p50": (0.5, "rank")}).drop("n")
 
 
 @query("SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY l_returnflag")
 def linear_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(linear(F.col("l_extendedprice"), 0.95), 4).alias("p95"))
+    rows = A.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return quantiles(rows, ["flag"], "l_extendedprice", {"p95": (0.95, "linear")}).select("flag", F.round("p95", 4).alias("p95"))
 
 
 @query(
@@ -199,7 +198,7 @@ def target_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH votes AS (SELECT event_id % 400 AS item_id, user_id % 3 AS reviewer, event_type IN ('purchase', 'click') AS useful FROM events WHERE event_id % 4 = 0),
+    """WITH votes AS (SELECT event_id % 400 AS item_id, user_id % 3 AS reviewer, event_type IN ('purchase', 'click') AS useful FROM events),
     items AS (SELECT DISTINCT event_id % 500 AS item_id FROM events),
     tally AS (SELECT item_id, count(DISTINCT reviewer) AS reviewers, count(DISTINCT useful) AS kinds, bool_and(useful) AS useful FROM votes GROUP BY item_id)
     SELECT item_id, coalesce(reviewers, 0) AS reviewers, CASE WHEN coalesce(reviewers, 0) < 2 THEN 'incomplete' WHEN kinds > 1 THEN 'disagreed' WHEN useful THEN 'useful' ELSE 'not_useful' END AS outcome
@@ -207,7 +206,7 @@ def target_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = A.table(spark, sf_dir, "events")
-    votes = events.where("event_id % 4 = 0").select((F.col("event_id") % 400).alias("item_id"), (F.col("user_id") % 3).alias("reviewer"), F.col("event_type").isin("purchase", "click").alias("useful"))
+    votes = events.select((F.col("event_id") % 400).alias("item_id"), (F.col("user_id") % 3).alias("reviewer"), F.col("event_type").isin("purchase", "click").alias("useful"))
     return C.adjudicate(events.select((F.col("event_id") % 500).alias("item_id")), votes)
 
 

@@ -206,4 +206,4 @@ def finding_priority_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_FINDINGS} SELECT page_index, priority, count(*) AS n, min(id) AS first_id FROM f GROUP BY page_index, priority""")
 def finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.grouped(_events_as_findings(spark, sf_dir), ["page_index", "priority"]).select("page_index", "priority", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+    return N.grouped(_events_as_findings(spark, sf_dir), ["page_index", "priority"])

@@ -70,23 +70,27 @@ def coverage_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coverage_lost(rows, rows.select("key", "side"))
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    rows = []
-    for d in range(0, 40):
-        rows += [
-            (f"text_{d}", "expected_text", str(d), "the", None, None), (f"stable_{d}", "stable_reading", str(d), None, None, None), (f"count_{d}", "expected_occurrence_count", str(d), None, d % 9, None),
-            (f"cover_{d}", "required_coverage", str(d), None, None, None), (f"delta_{d}", "max_geometry_delta", str(d), None, None, 0.5 + d % 2),
-        ]
-    kind = "rule_id string, type string, document_sha256 string, expected_text string, expected_count int, max_delta_pt double"
-    out = spark.createDataFrame(rows, kind)
-    none = lambda t: F.lit(None).cast(t)
+def _rules(docs: DataFrame) -> DataFrame:
+    """Five rules for every document."""
+    d, none = F.col("doc_id"), lambda t: F.lit(None).cast(t)
+
+    def rule(name: str, kind: str, text=None, count=None, delta=None) -> F.Column:
+        own = F.concat(F.lit(f"{name}_"), d.cast("string")).alias("rule_id")
+        told = [none("string") if text is None else F.lit(text), none("int") if count is None else count.cast("int"), none("double") if delta is None else delta]
+        return F.struct(own, F.lit(kind).alias("type"), *[c.alias(n) for c, n in zip(told, ("expected_text", "expected_count", "max_delta_pt"), strict=True)])
+
+    five = F.array(
+        rule("text", "expected_text", text="the"), rule("stable", "stable_reading"), rule("count", "expected_occurrence_count", count=d % 9),
+        rule("cover", "required_coverage"), rule("delta", "max_geometry_delta", delta=0.5 + (d % 2)),
+    )
+    out = docs.select(d.cast("string").alias("document_sha256"), F.explode(five).alias("r")).select("document_sha256", "r.*")
     return out.withColumns({"page_index": F.lit(0), "reader_id": none("string"), "region_id": none("string"), "capability": none("string")})
 
 
 @query(
     S.with_(
         S.LINES,
-        """docs AS (SELECT unnest(generate_series(0, 39)) AS doc_id)""",
+        """docs AS (SELECT doc_id FROM documents)""",
         """a AS (SELECT doc_id, string_agg(raw_text, chr(10) ORDER BY ordinal) AS text, count(*) AS n FROM lines_a GROUP BY doc_id)""",
         """b AS (SELECT doc_id, string_agg(raw_text, chr(10) ORDER BY ordinal) AS text, count(*) AS n FROM lines_b GROUP BY doc_id)""",
         # pairs by place in order: after the first line that B drops, places differ
@@ -103,7 +107,7 @@ def _rules(spark: SparkSession) -> DataFrame:
     )
 )
 def rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules for the first 40 documents, of all five types; reader A's run is the left one, B's the right one."""
+    """Rules for every document, of all five types; reader A's run is the left one, B's the right one."""
 
     def run(rows: DataFrame, reader: str) -> DataFrame:
         polygon = G.box_polygon(G.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
@@ -117,7 +121,7 @@ def rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("document_sha256"), F.lit(0).alias("page_index"), F.lit("native_text").alias("capability"), F.array(F.lit("b")).alias("reader_ids"), F.lit(None).cast("string").alias("region_id"),
         F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("completed").alias("status"),
     )
-    return R.evaluate_rules(_rules(spark), run(A.lines(spark, sf_dir), "a"), run(A.lines_again(spark, sf_dir), "b"), checks)
+    return R.evaluate_rules(_rules(docs), run(A.lines(spark, sf_dir), "a"), run(A.lines_again(spark, sf_dir), "b"), checks)
 
 
 @query(
@@ -231,13 +235,13 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH j AS (SELECT user_id AS job, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS attempt, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
-      CASE WHEN event_id % 2 = 0 THEN 'worker_crash' ELSE 'encrypted' END AS reason, event_id FROM events WHERE event_id < 400)
+      CASE WHEN event_id % 2 = 0 THEN 'worker_crash' ELSE 'encrypted' END AS reason, event_id FROM events)
     SELECT job, attempt + 1 AS attempt FROM (SELECT *, max(attempt) OVER (PARTITION BY job) AS last FROM j) WHERE attempt = last AND status = 'failed' AND reason = 'worker_crash' AND attempt < 9"""
 )
 def retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as jobs, the first 400 events as attempts; nine tries at most."""
+    """Users as jobs, their events as attempts; nine tries at most."""
     line = Window.partitionBy("user_id").orderBy("event_id")
-    rows = A.table(spark, sf_dir, "events").where("event_id < 400")
+    rows = A.table(spark, sf_dir, "events")
     jobs = rows.select(
         F.col("user_id").alias("job"), F.row_number().over(line).alias("attempt"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
         F.when(F.col("event_id") % 2 == 0, "worker_crash").otherwise("encrypted").alias("reason"),
@@ -245,7 +249,12 @@ def retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.next_attempts(jobs, 9)
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT user_id AS run, event_id AS arrival, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'take' ELSE 'release' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f AS (SELECT run, arrival, kind, k, CASE WHEN kind = 'take' THEN 1 ELSE 0 END AS in_use, false AS refused FROM t WHERE k = 1
+      UNION ALL SELECT t.run, t.arrival, t.kind, t.k, CASE WHEN t.kind = 'take' THEN least(f.in_use + 1, 2) ELSE greatest(f.in_use - 1, 0) END, t.kind = 'take' AND f.in_use >= 2 FROM f JOIN t ON t.run = f.run AND t.k = f.k + 1)
+    SELECT run, arrival, kind, in_use, refused FROM f"""
+)
 def slot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as runs that take and release two slots."""
     rows = A.table(spark, sf_dir, "events")

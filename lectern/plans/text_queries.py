@@ -55,16 +55,20 @@ def material_token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "ordinal", X.material_token_difference(F.col("a"), F.col("b")).alias("material"))
 
 
+#: DuckDB's levenshtein counts bytes, so the tables' letters beyond ASCII each become one byte of their own.
+_BYTES = "'ÄÇÈÉÊÑÖÜßäçèéêíñóöü', concat(" + ", ".join(f"chr({k})" for k in [*range(1, 10), *range(11, 21)]) + ")"
+
+
 @query(
-    """WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, left(a.text, 60) AS a, left(b.text, 60) AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
-    SELECT a_id, b_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE least(1, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) END, 6) AS distance
-    FROM p WHERE regexp_matches(concat(a, b), '^[a-z A-Z.,]*$')"""
+    f"""WITH t AS (SELECT item_id, translate(text, {_BYTES}) AS text FROM benchmark),
+    p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, a.text AS a, b.text AS b FROM t a JOIN t b ON b.item_id = a.item_id + 1)
+    SELECT a_id, b_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE least(1, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) END, 6) AS distance FROM p"""
 )
 def text_distance_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring benchmark items' first 60 characters, where these are plain ASCII prose."""
-    rows = A.table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("t"))
+    """Neighbouring benchmark items' whole texts."""
+    rows = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     a, b = rows.select(F.col("item_id").alias("a_id"), F.col("t").alias("a")), rows.select(F.col("item_id").alias("b_id"), F.col("t").alias("b"))
-    both = a.join(b, F.col("b_id") == F.col("a_id") + 1).where(F.concat("a", "b").rlike("^[a-z A-Z.,]*$"))
+    both = a.join(b, F.col("b_id") == F.col("a_id") + 1)
     return both.select("a_id", "b_id", F.round(X.plain_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
@@ -118,9 +122,9 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_leaks(rows.withColumn("split", split), roots, "doc_id", "split")
 
 
-@query("""SELECT doc_id, CASE WHEN length(b) > 0 THEN left(b, 80) ELSE 'document' END AS name FROM (SELECT doc_id, regexp_replace(regexp_replace(left(text, 120), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', '') AS b FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN length(b) > 0 THEN left(b, 80) ELSE 'document' END AS name FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', '') AS b FROM documents)""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", X.safe_name(F.left("text", F.lit(120))).alias("name"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", X.safe_name(F.col("text")).alias("name"))
 
 
 @query("""SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS html FROM benchmark""")

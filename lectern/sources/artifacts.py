@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from lectern.sources.schema import REPORT
 #: Limits of one artifact: bytes, nesting, characters of a string.
 MOST_BYTES, MOST_DEPTH, MOST_STRING = 32 * 1024 * 1024, 24, 2_000_000
 SAFE = 2**53 - 1
+#: Secrets that are sent to every task; characters of more that a text's places are joined by.
+MOST_SECRETS, SECRET_HEAD = 1000, 8
 
 
 class ArtifactError(ValueError):
@@ -31,15 +34,18 @@ def _constant(name: str):
     raise ArtifactError("NONFINITE", f"{name} is no number")
 
 
-def _audit(x, depth: int) -> None:
+def _audit(x, depth: int, most: int = MOST_STRING) -> None:
     if depth > MOST_DEPTH:
         raise ArtifactError("DEPTH", "nested too deeply")
+    if isinstance(x, str) and len(x) > most:
+        raise ArtifactError("SIZE", "a string is too long")
     if isinstance(x, dict):
         for k, v in x.items():
             if k in ("__proto__", "constructor", "prototype"):
                 raise ArtifactError("KEY", f"key {k} is refused")
             _audit(k, depth + 1)
-            _audit(v, depth if k == "data_base64" else depth + 1)
+            # an asset's bytes are bounded with the artifact
+            _audit(v, depth if k == "data_base64" else depth + 1, MOST_BYTES if k == "data_base64" else MOST_STRING)
     elif isinstance(x, list):
         for v in x:
             _audit(v, depth + 1)
@@ -47,6 +53,11 @@ def _audit(x, depth: int) -> None:
         raise ArtifactError("UNICODE", "lone surrogate")
     elif isinstance(x, int) and not isinstance(x, bool) and abs(x) > SAFE:
         raise ArtifactError("NUMBER", "integer beyond 2**53")
+    elif isinstance(x, float):
+        if not math.isfinite(x):
+            raise ArtifactError("NONFINITE", "a number beyond all bounds")
+        if x.is_integer() and abs(x) > SAFE:
+            raise ArtifactError("NUMBER", "integral number beyond 2**53")
 
 
 def loads_strict(data: bytes | str):
@@ -166,8 +177,19 @@ def labels(spark: SparkSession, path: str, gated: bool = True) -> DataFrame:
 
 
 def label_leaks(secrets: DataFrame, outputs: DataFrame) -> DataFrame:
-    """name, secret of outputs (name, text) that say a value only the label store knows (secret). Secrets are few."""
-    return outputs.join(F.broadcast(secrets), F.contains("text", F.col("secret"))).select("name", "secret")
+    """name, secret of outputs (name, text) that say a value only the label store knows (secret). Up to MOST_SECRETS are
+    looked for in every text; of more, those that share their first SECRET_HEAD characters with a place of the text are
+    found by a join first. Shorter secrets are looked for as they are."""
+    secrets = secrets.select("secret").where("secret IS NOT NULL AND secret != ''").distinct()
+    if secrets.limit(MOST_SECRETS + 1).count() <= MOST_SECRETS:
+        return outputs.join(F.broadcast(secrets), F.contains("text", F.col("secret"))).select("name", "secret")
+    long, short = secrets.where(F.char_length("secret") >= SECRET_HEAD), secrets.where(F.char_length("secret") < SECRET_HEAD)
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("text") - SECRET_HEAD + 1, F.lit(1)))
+    heads = outputs.select("name", "text", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(SECRET_HEAD))))).alias("_head"))
+    met = heads.join(long.withColumn("_head", F.left("secret", F.lit(SECRET_HEAD))), "_head").where(F.contains("text", F.col("secret")))
+    own = F.transform(F.sequence(F.lit(1), F.lit(SECRET_HEAD - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1))), lambda i: F.substring("text", i, n)))
+    bits = outputs.select("name", F.explode(F.array_distinct(F.flatten(own))).alias("secret")).join(short, "secret")
+    return met.select("name", "secret").unionByName(bits.select("name", "secret")).distinct()
 
 
 def forbidden_keys(outputs: DataFrame, words: list[str]) -> DataFrame:
