@@ -58,10 +58,13 @@ def test_validation_names_the_first_broken_rule(spark, tmp_path):
         (tmp_path / f"{code}.json").write_bytes(sinks.report_json(seal(bad)))
     forged = good | {"findings": []}
     (tmp_path / "forged.json").write_bytes(sinks.report_json(forged))
+    stale = json.loads(json.dumps(good))
+    stale["occurrences"][0].update(raw_text="1  00")
+    (tmp_path / "stale.json").write_bytes(sinks.report_json(stale))  # a broken map and a stale hash: the rule comes first
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     (tmp_path / "page.json").write_text("<html>")
     got = {r.path.rsplit("/", 1)[1][:-5]: r.code for r in Engine(spark).validate(str(tmp_path)).collect()}
-    assert got.pop("good") is None and got.pop("forged") == "HASH" and got.pop("twice") == "DUPLICATE" and got.pop("page") == "markup"
+    assert got.pop("stale") == "NORMALIZATION" and got.pop("good") is None and got.pop("forged") == "HASH" and got.pop("twice") == "DUPLICATE" and got.pop("page") == "markup"
     assert got == {c: c for c in BROKEN}
     stored = artifacts.reports(artifacts.scan(spark, str(tmp_path / "good.json")))
     assert V.violations(stored).count() == 0
