@@ -288,6 +288,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 KEEP = 0.5
 
 
+def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
+    """The rows of docs whose score is `least` or more, as they are: columns named like scores keep their own values.
+    Odd rows are scored as `score` says; repeated rows stay or go together; an empty table gives none."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        odds = np.concatenate([shared.value.odds(_views(p))[2] for p in pieces(batch, 1 << 20)])
+        score = 1 / (1 + np.exp(-np.clip(odds, -30, 30).astype(np.float64)))
+        return batch.filter(pa.array(score >= least))
+
+    return map_chunks(docs, run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, p_text, p_page, score, keep."""
     docs = table(spark, sf_dir, "documents")

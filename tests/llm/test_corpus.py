@@ -462,3 +462,22 @@ def test_stages_in_order(spark, tmp_path):
     assert "[secret]" in text.text and leak not in text.text and text.n_chars == len(text.text)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in got.select("doc_id").collect()} == seen[4]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, columns named like the stages' own, no labels, no benchmark, no rows."""
+    kind = "doc_id long, text string, source string, lang string, n_chars long, score string, hits long, n_words long, class_id long, _row string, secrets string"
+    own = ("s", None, None, "x", 1, 2, 3, "y", "z")
+    texts = [(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (3, "another text with that id"), (None, "h i j k l m"), (4, "A, b c d e f g"), (5, "word " * 30_000)]
+    docs = spark.createDataFrame([(*t, *own) for t in texts], kind)
+    for name, rows in (("odd", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).where("start = 0").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "3", "5", "None"]
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    stage = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        stage = step(spark, stage, str(tmp_path / "odd"))
+        assert stage.columns == docs.columns and {r.score for r in stage.select("score").collect()} == {"x"}
