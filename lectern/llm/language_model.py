@@ -88,6 +88,11 @@ def counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
+def _small(n: int) -> type:
+    """The type of numbers under n: stable sorts of 16 bits are by radix."""
+    return np.uint16 if n <= 1 << 16 else np.int64
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.negative(x, out=x)
@@ -156,7 +161,7 @@ class Network:
         self.ww = np.zeros((n, units), dtype=np.float32)
         by_class = np.add.reduceat(vocab.mass, vocab.bounds[:-1])
         self.bc = np.log(by_class).astype(np.float32)
-        self.owner = np.repeat(np.arange(k), np.diff(vocab.bounds))
+        self.owner = np.repeat(np.arange(k, dtype=_small(k)), np.diff(vocab.bounds))
         self.bw = (np.log(vocab.mass) - np.log(by_class)[self.owner]).astype(np.float32)
         self.end = vocab.words[END]
 
@@ -261,7 +266,7 @@ class Network:
             dh *= kept["keep"][t]
         gates[:, :, : 2 * n] = inner[:, :, : 2 * n]
         grad["u"] = before.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
-        flat, ids = gates.reshape(-1, 3 * n), seen.ravel()
+        flat, ids = gates.reshape(-1, 3 * n), seen.ravel().astype(_small(len(self.x)))
         order = np.argsort(ids, kind="stable")
         at = np.concatenate(([0], np.flatnonzero(np.diff(ids[order])) + 1))
         rows = ids[order][at]
