@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LEAST_SIMILARITY, SHINGLE_WORDS, cut, map_chunks, relax, table, words
+from lectern.llm.common import LEAST_SIMILARITY, SHINGLE_WORDS, cut, fresh, map_chunks, relax, table, words
 
 RECALL = 0.999
 BLOCK = 400
@@ -282,24 +282,35 @@ def _linked(docs: DataFrame, carry: tuple[str, ...], n: int, least: float, recal
     return full.unionByName(bare)
 
 
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key of each row that stays the same however often it is read: the row's file (64 bits of a hash) and
+    its number there if docs is a table of Parquet files just as read, and otherwise a number in a written copy."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        about = docs.metadataColumn("_metadata")
+        if "row_index" in docs.select(about).schema[0].dataType.fieldNames():
+            return docs.withColumn(key, F.struct(F.xxhash64(about["file_path"]).alias("file"), about["row_index"].alias("row")))
+    return cut(docs.withColumn(key, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "rows")
+
+
 def first_of_each(docs: DataFrame, *, repeats: bool = True, n: int = SHINGLE_WORDS, least: float = LEAST_SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """docs without the members of a class other than the one that names it. Rows without words stay.
 
     With repeats, all rows of the class that have its id stay, and those without doc_id; without, one row of each class
-    does, of the smallest id if there is one. Rows are told apart by a key of their own in a written table, so an id's
-    other rows stay where one of them is a copy."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = _linked(rows, ("_row",), n, least, recall, block).where("component IS NOT NULL")
-    found = cut(found.select("_row", "doc_id", "class_id", "component"), "found")
+    does, of the smallest id if there is one. Rows are told apart by a key of their own, so an id's other rows stay where
+    one of them is a copy."""
+    key, out = fresh(docs, "_row"), fresh(docs, "_gone")
+    rows = _numbered(docs, key)
+    found = _linked(rows, (key,), n, least, recall, block).where("component IS NOT NULL")
+    found = cut(found.select(F.col(key).alias("row"), "doc_id", "class_id", "component"), "found")
     if repeats:
-        gone = found.where("doc_id != class_id").select("_row")
+        gone = found.where("doc_id != class_id").select("row")
     else:
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "_row")).alias("first")
-        kept = cut(found.groupBy("component").agg(first).select("first._row"), "kept")
-        gone = found.select("_row").join(kept, "_row", "left_anti")
-    gone = cut(gone.select(F.col("_row").alias("gone")), "gone")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("first")
+        kept = cut(found.groupBy("component").agg(first).select("first.row"), "kept")
+        gone = found.select("row").join(kept, "row", "left_anti")
+    gone = cut(gone.select(F.col("row").alias(out)), "gone")
     few = gone.count() <= BROADCAST_IDS
-    left = rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("gone"), "left_anti")
+    left = rows.join(F.broadcast(gone) if few else gone, F.col(key) == F.col(out), "left_anti")
     return left.select(*[f"`{c}`" for c in docs.columns])
 
 

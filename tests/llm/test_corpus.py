@@ -206,6 +206,26 @@ def test_bands_reach_their_recall():
     assert met >= 297
 
 
+def test_first_of_each_over_files(spark, tmp_path):
+    """Rows of files as read are told apart by file and place: the same rows stay as from a written copy, with columns
+    named like the operator's own, and no second copy of the texts is written."""
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(k % 7, text[k % 6] if k % 5 else None, k, "g") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _gone string").repartition(4)
+    df.write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    from lectern.llm import common
+
+    before = len(common._written)
+    got = N.first_of_each(read, repeats=False)
+    assert not any("lectern-rows-" in p for p in common._written[before:])
+    key = lambda rs: sorted((str(r.doc_id), str(r.text)) for r in rs)
+    kept = got.collect()
+    assert got.columns == read.columns
+    assert key(kept) == key(N.first_of_each(read.where("true or doc_id = 1").limit(60), repeats=False).collect())
+    assert sum(r.text is None for r in kept) == 12 and sum(r.text is not None for r in kept) == 6
+
+
 # language model
 
 
