@@ -5,11 +5,14 @@ All positions are Unicode code points, ends are exclusive. Null texts stay null.
 
 from __future__ import annotations
 
-import re
+import math
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,7 @@ WHITE_SPACE = frozenset(
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _OTHER = _SPACE.replace("[", "[^", 1)
-_RUNS = re.compile("[{0}]+|[^{0}]+".format("".join(sorted(WHITE_SPACE))))
+_IS_WHITE = np.isin(np.arange(max(map(ord, WHITE_SPACE)) + 2), list(map(ord, WHITE_SPACE)))
 #: Categories of characters whose change matters by itself: digits, currency, mathematical signs, dashes.
 MATERIAL_CATEGORIES = ("Nd", "Sc", "Sm", "Pd")
 _MATERIAL = r"[\p{Nd}\p{Sc}\p{Sm}\p{Pd}]"
@@ -48,21 +51,81 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_SPACE}+|{_OTHER}+)"), F.lit(1))
 
 
-def map_entries(text: str) -> list[tuple[int, int, int, int, str]]:
-    """The map of one text: raw start and end, normalised start and end, operation of every run."""
-    out, new = [], 0
-    for run in _RUNS.finditer(text):
-        white = run[0][0] in WHITE_SPACE
-        n = 1 if white else run.end() - run.start()
-        out.append((run.start(), run.end(), new, new + n, "whitespace" if white else "identity"))
-        new += n
-    return out
-
-
-@F.pandas_udf(MAP)
-def _map_udf(text: pd.Series) -> pd.Series:
-    names = [f.name for f in MAP.elementType.fields]
-    return text.map(lambda t: None if t is None else [dict(zip(names, e, strict=True)) for e in map_entries(t)])
+class Maps:
+    """The maps of many texts at once, run by run in flat arrays; text k has the runs offsets[k] to offsets[k + 1].
+
+    A null text has no runs."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.null = texts.is_null()
+        texts = texts.fill_null("").cast(pa.large_string())
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+        data = texts.buffers()[2]
+        raw = memoryview(data)[at[0] : at[-1]] if data is not None else memoryview(b"")
+        lead = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
+        starts = np.concatenate(([0], np.cumsum(lead)))[at - at[0]]  # in code points
+        white = _IS_WHITE[np.minimum(np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype="<u4"), len(_IS_WHITE) - 1)]
+        first = np.ones(len(white), dtype=bool)
+        first[1:] = white[1:] != white[:-1]
+        first[starts[:-1][starts[:-1] < starts[1:]]] = True
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(white))[: len(begin)]
+        self.offsets = np.searchsorted(begin, starts)
+        own = np.repeat(np.arange(n), np.diff(self.offsets))
+        self.white = white[begin]
+        self.line = np.concatenate(([0], np.cumsum(np.where(self.white, 1, end - begin))))  # normalised starts, texts after texts
+        base = self.line[self.offsets[:-1]]
+        self.raw_start, self.raw_end = begin - starts[own], end - starts[own]
+        self.new_start, self.new_end = self.line[:-1] - base[own], self.line[1:] - base[own]
+
+    def arrow(self) -> pa.Array:
+        """The maps as MAP."""
+        columns = [pa.array(c, pa.int32()) for c in (self.raw_start, self.raw_end, self.new_start, self.new_end)]
+        columns.append(pa.array(["identity", "whitespace"]).take(pa.array(self.white.astype(np.int8))))
+        runs = pa.StructArray.from_arrays(columns, [f.name for f in MAP.elementType.fields])
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), runs, mask=self.null)
+
+    def contiguous(self, raw: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Whether each map covers texts of these lengths without gaps, in order."""
+        a, b = self.offsets[:-1], self.offsets[1:]
+        some = a < b
+        broken = np.zeros(len(self.white) + 1, dtype=np.int64)
+        broken[2:] = (self.raw_start[1:] != self.raw_end[:-1]) | (self.new_start[1:] != self.new_end[:-1])
+        broken[a[some] + 1] = 0  # the first run of a text follows none
+        broken = np.cumsum(broken)
+        out = (raw == 0) & (new == 0)
+        first, last = a[some], b[some] - 1
+        ends = (self.raw_start[first] == 0) & (self.new_start[first] == 0) & (self.raw_end[last] == raw[some]) & (self.new_end[last] == new[some])
+        out[some] = ends & (broken[b[some]] == broken[a[some]])
+        return out
+
+    def to_raw(self, at: np.ndarray, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """to_raw of one position in each text; and whether it is in the text."""
+        base, most = self.line[self.offsets[:-1]], self.line[self.offsets[1:]]
+        inside = (at > 0) & (base + at <= most) if end else (at >= 0) & (base + at < most)
+        out = np.zeros(len(at), dtype=np.int64)
+        k = np.searchsorted(self.line, (base + at)[inside], side="left" if end else "right") - 1
+        shifted = self.raw_start[k] + at[inside] - self.new_start[k]
+        out[inside] = np.where(self.white[k], self.raw_end[k] if end else self.raw_start[k], shifted)
+        return out, inside | (at == 0) if end else inside
+
+
+def _slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about `most` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+@F.arrow_udf(MAP)
+def _map_udf(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([(f.name, pa.string() if f.name == "operation" else pa.int32()) for f in MAP.elementType.fields]))
+    parts = [Maps(text[a:b]).arrow() for a, b in _slices(text)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def normalization_map(text: Column) -> Column:
@@ -71,6 +134,30 @@ def normalization_map(text: Column) -> Column:
     return _map_udf(text)
 
 
+_CHECKED = T.StructType([T.StructField("contiguous", T.BooleanType()), T.StructField("raw_start", T.IntegerType()), T.StructField("raw_end", T.IntegerType())])
+
+
+@F.arrow_udf(_CHECKED)
+def _check_udf(text: pa.Array, raw: pa.Array, new: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    raw, new, start, end = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (raw, new, start, end))
+    names, parts = [f.name for f in _CHECKED.fields], []
+    for a, b in _slices(text):
+        maps = Maps(text[a:b])
+        null = maps.null.to_numpy(zero_copy_only=False)
+        columns = [pa.array(maps.contiguous(raw[a:b], new[a:b]), mask=null)]
+        for at, is_end in ((start, False), (end, True)):
+            found, inside = maps.to_raw(at[a:b].astype(np.int64), is_end)
+            columns.append(pa.array(found, pa.int32(), mask=null | ~inside))
+        parts.append(pa.StructArray.from_arrays(columns, names))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, (pa.bool_(), pa.int32(), pa.int32()), strict=True))))
+
+
+def check_map(raw: Column, normalized: Column, start: Column, end: Column) -> Column:
+    """contiguous: map_is_contiguous of a raw text's normalization_map; raw_start, raw_end: what to_raw gives with it for
+    the range start to end of the normalised text. The map, larger than its text, stays with the worker that made it."""
+    return _check_udf(raw, F.char_length(raw), F.char_length(normalized), start, end)
+
+
 def map_is_contiguous(entries: Column, raw: Column, normalized: Column) -> Column:
     """Whether a map covers both texts without gaps, in order."""
     n = F.size(entries)

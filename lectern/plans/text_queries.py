@@ -30,10 +30,11 @@ def whitespace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line's map covers both texts, and its middle goes back to where it came from."""
     rows = A.lines(spark, sf_dir).select("doc_id", "ordinal", "raw_text")
-    rows = rows.withColumns({"new": X.normalize(F.col("raw_text")), "map": X.normalization_map(F.col("raw_text"))})
-    there = X.raw_slice(F.col("raw_text"), F.col("map"), F.lit(0), F.char_length("new"))
+    rows = rows.withColumn("new", X.normalize(F.col("raw_text")))
+    rows = rows.withColumn("map", X.check_map(F.col("raw_text"), F.col("new"), F.lit(0), F.char_length("new")))
+    there = F.substring(F.col("raw_text"), F.col("map.raw_start") + 1, F.col("map.raw_end") - F.col("map.raw_start"))
     same = F.when(F.char_length("new") == 0, True).otherwise(there == F.col("raw_text"))
-    return rows.select("doc_id", "ordinal", X.map_is_contiguous(F.col("map"), F.col("raw_text"), F.col("new")).alias("contiguous"), same.alias("round_trip"))
+    return rows.select("doc_id", "ordinal", F.col("map.contiguous").alias("contiguous"), same.alias("round_trip"))
 
 
 _TOKENS = r"""

@@ -2,6 +2,8 @@ import json
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,36 @@ def test_positions_go_back_and_forth(spark):
     assert got == [(0, 1, "a"), (1, 3, "  "), (3, 4, "b"), (4, 6, "\t\t"), (6, 7, "c"), (7, 8, "d")]
 
 
+def test_maps_of_many_texts_at_once():
+    r = random.Random(7)
+    texts = [None, *TEXTS, *("".join(r.choices("ab \t\u2003é\U0001f4b8", k=r.randint(0, 12))) for _ in range(200)), None, ""]
+    flat, models = X.Maps(pa.array(["cut off", *texts])[1:]), [_model(t or "") for t in texts]
+    assert flat.arrow().to_pylist() == [None if t is None else [dict(zip(("raw_start", "raw_end", "normalized_start", "normalized_end", "operation"), e)) for e in m] for t, (_, m) in zip(texts, models)]
+    raw, new = np.array([len(t or "") for t in texts]), np.array([len(n) for n, _ in models])
+    assert flat.contiguous(raw, new).all() and not flat.contiguous(raw + 1, new).any() and not flat.contiguous(raw, new + 1).any()
+    flat.raw_start[flat.offsets[2:-1][np.diff(flat.offsets)[2:] > 1] + 1] += 1  # a gap before the second run
+    assert (flat.contiguous(raw, new)[2:] == (np.diff(flat.offsets)[2:] < 2)).all()
+    flat = X.Maps(pa.array(texts))
+    for at in range(-1, 14):
+        for end in (False, True):
+            got, inside = flat.to_raw(np.full(len(texts), at), end)
+            for k, (_, m) in enumerate(models):
+                own = [e for e in m if (e[2] < at <= e[3] if end else e[2] <= at < e[3])]
+                want = 0 if end and at == 0 else None if not own else own[0][end] if own[0][4] == "whitespace" else own[0][0] + at - own[0][2]
+                assert (got[k] if inside[k] else None) == want
+    assert [b - a for a, b in X._slices(pa.array(["aaa", None, "", "éé", "b" * 9, "c"]), 5)] == [3, 1, 1, 1]
+
+
+def test_checked_maps(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*TEXTS, None, "a  b" * 50_000])], "k int, t string")
+    n = X.normalize(F.col("t"))
+    got = {r.k: r.c for r in rows.select("k", X.check_map(F.col("t"), n, F.lit(0), F.char_length(n)).alias("c")).collect()}
+    assert got[0] == (True, None, 0) and got[len(TEXTS)] == (None, None, None) and got[len(TEXTS) + 1] == (True, 0, 200_000)
+    assert all(got[k] == (True, 0, len(t)) for k, t in enumerate(TEXTS) if t)
+    wrong = rows.select("k", X.check_map(F.col("t"), F.concat(n, F.lit("x")), F.lit(0), F.lit(1)).alias("c")).where("k < 9").collect()
+    assert not any(r.c.contiguous for r in wrong)
+
+
 def _edit(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
