@@ -24,6 +24,8 @@ WHITE_SPACE = frozenset(
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _OTHER = _SPACE.replace("[", "[^", 1)
+#: Runs of white space that are not one space already.
+_CHANGED = rf"{_SPACE.replace(chr(92) + 'x20', '')}{_SPACE}*|\x20{_SPACE}+"
 _IS_WHITE = np.isin(np.arange(max(map(ord, WHITE_SPACE)) + 2), list(map(ord, WHITE_SPACE)))
 #: Categories of characters whose change matters by itself: digits, currency, mathematical signs, dashes.
 MATERIAL_CATEGORIES = ("Nd", "Sc", "Sm", "Pd")
@@ -43,7 +45,7 @@ MAP = T.ArrayType(
 
 def normalize(text: Column) -> Column:
     """Every run of white space as one space, at the ends too."""
-    return F.regexp_replace(text, f"{_SPACE}+", " ")
+    return F.regexp_replace(text, _CHANGED, " ")
 
 
 def runs(text: Column) -> Column:
@@ -212,10 +214,56 @@ def is_material(char: str) -> bool:
     return unicodedata.category(char) in MATERIAL_CATEGORIES
 
 
+def _shared(a: str, b: str, i: int, j: int) -> int:
+    """How many characters a from i and b from j begin with alike."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 8
+    while n < most:  # steps double while they agree, then halve
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step //= 2
+            most = min(most, n + 2 * step)
+    return n
+
+
+def _few_edits(a: str, b: str, most: int) -> int | None:
+    """weighted_levenshtein if that is `most` at most: for each cost, how far it reaches on each diagonal. A change of
+    cost 2 is a deletion and an insertion, so only changes of cost 1 are steps of their own."""
+    goal = len(b) - len(a)
+    reach = {0: _shared(a, b, 0, 0)}
+    cost = 0
+    while reach.get(goal, -1) < len(a):
+        cost += 1
+        if cost > most:
+            return None
+        new = {}
+        for k in range(-cost, cost + 1):  # b's position less a's
+            i = max(reach.get(k - 1, -1), reach.get(k + 1, -2) + 1)
+            at = reach.get(k, -1)
+            if at >= 0:
+                i = max(i, at)
+                if at < len(a) and at + k < len(b) and not (is_material(a[at]) or is_material(b[at + k])):
+                    i = max(i, at + 1)
+            i = min(i, len(a), len(b) - k)
+            if i >= 0 and i + k >= 0:
+                new[k] = i + _shared(a, b, i, i + k)
+        reach = new
+    return cost
+
+
 def weighted_levenshtein(a: str, b: str) -> int:
     """Edit distance in code points; putting one character for another costs 2 where either is material."""
+    if a == b:
+        return 0
     if not a or not b:
         return len(a) + len(b)
+    few = _few_edits(a, b, 4 + math.isqrt(2 * min(len(a), len(b))))
+    if few is not None:
+        return few
     heavy = np.array([1 + is_material(c) for c in b])
     codes = np.array([ord(c) for c in b])
     line = np.arange(len(b) + 1)

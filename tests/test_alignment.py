@@ -103,3 +103,63 @@ def test_pages_in_spark(spark):
     assert got == {("d", "a"): "unique", ("d", "b"): "unmatched", ("d", "z"): "unique", ("e", "c"): "page_level", ("e", "y"): "page_level"}
     found = {(r.document, r.kind, r.alignment, r.priority) for r in N.from_alignment(aligned, left, right, "document").collect()}
     assert found == {("d", "reading_difference", "page_level", "material_token"), ("d", "observed_structure", "unmatched", "informational"), ("e", "reading_difference", "page_level", "ordinary")}
+
+
+def test_a_block_of_two_records_as_the_programme_has_it():
+    """One fragment a side is matched without the programme; an own region, which all is in, takes the programme."""
+    import random
+
+    r = random.Random(4)
+    kinds = set()
+    for _ in range(200):
+        place = [(r.randint(0, 9), r.randint(0, 9)) for _ in range(2)]
+        sides = [[rec(s, r.randint(0, 3), r.choice(["a1", "b", "a7"]), (x, y, x + r.randint(1, 20), y + r.randint(1, 20)))] for s, (x, y) in zip("lr", place)]
+        fast, slow = A.align_page(*sides), A.align_page(*sides, region=[(-9, -9), (99, -9), (99, 99), (-9, 99)])
+        assert fast | {"region_scoped": True} == slow
+        kinds.add((len(fast["matches"]), len(fast["ambiguous"])))
+    assert kinds == {(0, 0), (0, 1), (1, 0)}
+
+
+def test_blocks_against_all_pairs():
+    import random
+
+    r = random.Random(6)
+    for _ in range(100):
+        sides = []
+        for s in "lr":
+            boxes = [(x, y, x + r.randint(1, 9), y + r.randint(1, 9)) for x, y in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(12))]
+            sides.append([A.Run([A.Fragment(k, rec(f"{s}{k}", k, "x"), b)], b) for k, b in enumerate(boxes)])
+        found, _, _, tests = A.blocks(*sides, 2.0)
+        assert tests == sum(b.box[1] < a.box[3] for a in sides[0] for b in sides[1])
+        part = {id(x): k for k, block in enumerate(found) for side in block for x in side}
+        for a in sides[0]:
+            for b in sides[1]:
+                if b.box[1] < a.box[3] and A._near(a.box, b.box, 2.0):
+                    assert part[id(a)] == part[id(b)]
+
+
+def test_turned_places_against_all_pairs():
+    import random
+    from itertools import combinations
+
+    r = random.Random(8)
+    for _ in range(300):
+        values = [r.randint(0, 9) for _ in range(r.randint(0, 9))]
+        turned = [(i, j) for i, j in combinations(range(len(values)), 2) if values[i] > values[j]]
+        assert A.turned_places(values) == (list(dict.fromkeys(k for pair in turned for k in pair)), len(turned))
+    assert A.turned_places(list(range(50_000, 0, -1)))[1] == 50_000 * 49_999 // 2
+
+
+def test_many_pages_of_long_lines_in_spark(spark):
+    """More pages than a worker holds at a time, lines of 30,000 characters, an empty side, points that are no pairs."""
+    kind = "doc long, page_index int, id string, ordinal int, text string, polygon array<array<double>>, precision string"
+    square = lambda y: [[0.0, y], [50.0, y], [50.0, y + 10], [0.0, y + 10]]
+    long = "word 1 " * 4_300
+    left = spark.createDataFrame([(d, 0, f"a{k}", k, f"{d} {long}", square(20.0 * k), "exact") for d in range(150) for k in (1, 0)], kind).repartition(1)
+    right = spark.createDataFrame([(d, 0, "b", 0, f"{d} {long}"[:-2] + "7 ", square(0.0), "exact") for d in range(1, 151)] + [(151, 0, "odd", 0, "x", [[1.0], [2.0], [3.0]], "exact")], kind)
+    rows = A.align(left, right, "doc").collect()
+    status = {(r.doc, r.occurrence_id): r.status for r in rows if r.kind in ("left", "right")}
+    assert len(status) == 451 and all(status[d, "a0"] == status[d, "b"] == "unique" and status[d, "a1"] == "unmatched" for d in range(1, 150))
+    assert [status[k] for k in ((0, "a0"), (150, "b"), (151, "odd"))] == ["unmatched", "unmatched", "page_level"]
+    assert sorted(r.doc for r in rows if r.kind == "diagnostics") == list(range(152))
+    assert {round(r.text_distance * 30_000) for r in rows if r.kind == "match"} == {2}

@@ -87,6 +87,17 @@ def _edit(a, b):
     return d[-1][-1]
 
 
+def test_distance_of_few_edits():
+    r = random.Random(5)
+    for _ in range(500):
+        a = "".join(r.choices("ab1-", k=r.randint(0, 12)))
+        b = "".join(r.choices("ab1-", k=r.randint(0, 12))) if r.random() < 0.3 else "".join(r.choice(["", "1", "b", c, c, c, c + "a"]) for c in a)
+        d = _edit(a, b)
+        assert X.weighted_levenshtein(a, b) == X._few_edits(a, b, 99) == d and (not d or X._few_edits(a, b, d - 1) is None)
+    long = "".join(r.choices("abc1 ", k=200_000))
+    assert X.weighted_levenshtein(long, long[:77] + "7" + long[78:-1] + "$") == _edit(long[70:80], long[70:77] + "7" + long[78:80]) + _edit(long[-1], "$")
+
+
 def test_weighted_distance(spark):
     r = random.Random(3)
     pairs = [("".join(r.choices("ab1-$ ", k=r.randint(0, 9))), "".join(r.choices("ab1-$ ", k=r.randint(0, 9)))) for _ in range(200)]
