@@ -163,3 +163,18 @@ def test_many_pages_of_long_lines_in_spark(spark):
     assert [status[k] for k in ((0, "a0"), (150, "b"), (151, "odd"))] == ["unmatched", "unmatched", "page_level"]
     assert sorted(r.doc for r in rows if r.kind == "diagnostics") == list(range(152))
     assert {round(r.text_distance * 30_000) for r in rows if r.kind == "match"} == {2}
+
+
+def test_findings_read_an_alignment_once(spark):
+    kind = "doc string, page_index int, id string, ordinal int, text string, polygon array<array<double>>, precision string"
+    square = lambda y: [[0.0, y], [50.0, y], [50.0, y + 10], [0.0, y + 10]]
+    left = spark.createDataFrame([("d", 0, f"a{k}", k, f"same {k}", square(20.0 * k), "exact") for k in range(12)] + [("d", 0, f"p{k}", 50 + k, f"p {k}", None, "page_only") for k in range(11)], kind)
+    right = spark.createDataFrame([("d", 0, f"b{k}", k, f"same {k}", square(20.0 * k), "exact") for k in range(3)] + [("d", 0, "q", 9, "other", None, "page_only"), ("e", 0, "z", 0, "x", square(0.0), "exact")], kind)
+    found = N.from_alignment(A.align(left, right, "doc"), left, right, "doc")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.doc, r.kind, r.alignment): (r.priority, r.left_ids, r.right_ids) for r in found.collect()}
+    assert got == {
+        ("d", "observed_structure", "unmatched"): ("informational", [f"a{k}" for k in range(3, 12)], []),
+        ("d", "reading_difference", "page_level"): ("ordinary", [f"p{k}" for k in range(11)], ["q"]),
+        ("e", "ocr_interpretation", "unmatched"): ("informational", [], ["z"]),
+    }
