@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import partition_id, pieces, relax, table
-from lectern.llm.tokens import KEPT, WordBpe
+from lectern.llm.tokens import WordBpe
 
 SIZE, END_ID = 2048, 1
 #: Prices of cuts, in tokens of padding: at a sentence's end, elsewhere; and how often "elsewhere" is offered.
 SENTENCE, INSIDE, STRIDE = 4.0, 24.0, 64
+#: Distinct pieces that a worker keeps in a job that does nothing else: fewer are met anew in every task.
+KEPT = 1_500_000
 #: Sequences that are laid out at a time.
 ROUND = 128
 

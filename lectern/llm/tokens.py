@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -49,7 +50,7 @@ class WordBpe:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.own.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learn(self, new: list[str]) -> None:
         """New runs without spaces: plain ones through their parts in lower case, odd ones as they are."""
